@@ -17,6 +17,7 @@ from ._shared import M64, Words, mix, pieces, small_batches, staged, table_of
 
 M = 128  # signature length
 ROWS = 4  # of a band: at similarity 0.75 the 32 bands miss a pair with probability 6e-6
+SIFT_BITS = 24  # log2 of the bits of the sieve for ids that meet anybody: 2 MB on the driver at any input size
 BLOCK = 256  # members of a block in the exhaustive comparison of what star links left open
 
 _WORDS = table_of()
@@ -122,36 +123,64 @@ def _features(width: int):
     return each
 
 
-def _sets(width: int):
+def _sets(width: int, sieve):
+    """Shingle sets of the rows whose id may meet another: whole, and as the high halves of the hashes."""
+
     def each(batches):
+        bits = sieve.value
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for a, b, data, bounds in pieces(batch.column(1)):
                 items, at = shingles(Words(data, bounds, _WORDS), width)
-                raw = pa.py_buffer(items.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), raw])], ["id", "items"])
+                halves = (items >> np.uint64(32)).astype(np.uint32)
+                columns = [pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * k).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x, k in ((items, 8), (halves, 4))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], ["id", "items", "halves"])
 
     return each
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _sieve(ids: DataFrame):
+    """A bitmap of fixed size over hashed ids; it only ever lets too many pass."""
+    spark = ids.sparkSession
+    at = ids.select(_place(F.col("id")).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (SIFT_BITS - 6), np.uint64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(bits)
+
+
+def _place(c):
+    return F.pmod(F.xxhash64(c), F.lit(1 << SIFT_BITS))
+
 
+def _verify(percent: int, kind: type):
+    """Keep the pairs linked by their sets; by halves of hashes, those that may be."""
 
-def _verify(percent: int):
     def each(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [_linked(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), percent) for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), kind), np.frombuffer(y.as_py(), kind)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return each
 
 
-def _block_links(percent: int):
-    """Links between the open members of a block and the members of other groups, by an inverted list over the block."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: sifted on half hashes, which miss none, then confirmed on full sets."""
+    for column, kind in (("halves", np.uint32), ("items", np.uint64)):
+        mine = sets.select(F.col("id").alias("b"), F.col(column).alias("y"))
+        other = sets.select(F.col("id").alias("a"), F.col(column).alias("x"))
+        pairs = staged(pairs.join(mine, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent, kind), "a long, b long"), "links")
+    return pairs
+
+
+def _block_pairs(percent: int):
+    """Pairs of open members of a block and members of other groups that may be linked, by an inverted list over the block."""
 
     def each(left, right):
         done = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -159,12 +188,12 @@ def _block_links(percent: int):
             return done.empty_table()
         ids = [left["x_id"].to_numpy(), right["id"].to_numpy()]
         comps = [left["x_comp"].to_numpy(), right["comp"].to_numpy()]
-        sets = [[np.frombuffer(v.as_py(), np.uint64) for v in t] for t in (left["x_items"], right["items"])]
+        sets = [[np.frombuffer(v.as_py(), np.uint32) for v in t] for t in (left["x_halves"], right["halves"])]
+        sizes = np.array([len(s) for s in sets[0]])
         flat = np.concatenate(sets[0])
-        owner = np.repeat(np.arange(len(sets[0])), [len(s) for s in sets[0]])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        sizes = np.array([len(s) for s in sets[0]])
         got_a, got_b = [], []
         for k, s in enumerate(sets[1]):
             lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
@@ -217,10 +246,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = ranked.groupBy("band").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("lead"))
     stars = crowd.join(leaders, "band")
     pairs = stars.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = crowd.select("id").distinct()
-    sets = staged(source.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, items binary"), "sets")
-    with_sets = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    links = staged(with_sets.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    placed_rows = source.where("id is not null").select("id", "text", _place(F.col("id")).alias("at"))
+    sets = staged(placed_rows.mapInArrow(_sets(width, _sieve(crowd)), "id long, items binary, halves binary"), "sets")
+    links = _linked(pairs, sets, percent)
     comps = components(links)
     # what is open: a bucket of three or more with members of several components
     placed = stars.where("members > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -229,12 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.groupBy("band").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("minor")).where("minor > 0")
     # alone against the leader only: nothing is left to compare
     open_ = open_.where("all > 2").select("band", F.ceil(F.col("all") / BLOCK).cast("int").alias("na"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("nm"))
-    spread = placed.join(open_, "band").join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).drop("sid")
+    spread = placed.join(open_, "band").join(sets.select(F.col("id").alias("sid"), "halves"), F.col("id") == F.col("sid")).drop("sid")
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    minor = spread.where("comp <> main").select("band", slot("nm").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "id", "comp", "items").toDF("x_band", "x_i", "x_j", "x_id", "x_comp", "x_items")
-    every = spread.select("band", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), slot("na").alias("j"), "id", "comp", "items")
-    more = minor.groupBy("x_band", "x_i", "x_j").cogroup(every.groupBy("band", "i", "j")).applyInArrow(_block_links(percent), "a long, b long")
-    more = staged(more.distinct(), "more")
+    minor = spread.where("comp <> main").select("band", slot("nm").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "id", "comp", "halves").toDF("x_band", "x_i", "x_j", "x_id", "x_comp", "x_halves")
+    every = spread.select("band", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), slot("na").alias("j"), "id", "comp", "halves")
+    more = minor.groupBy("x_band", "x_i", "x_j").cogroup(every.groupBy("band", "i", "j")).applyInArrow(_block_pairs(percent), "a long, b long")
+    more = _linked(staged(more.distinct(), "more"), sets, percent)
     if not more.isEmpty():
         comps = components(links.union(more))
     of_class = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component"))
