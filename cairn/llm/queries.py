@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, quality_rules, url_filter
+from . import decontaminate, hmm_lm, language_id, near_dedup, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +50,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"), _remainder(10) == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_near_dedup, op4_decontaminate, op5_url_filter, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_near_dedup, op4_decontaminate, op5_url_filter, op8_quality_rules, op10_hmm_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
