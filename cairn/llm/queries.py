@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, language_id, license_scan, near_dedup, packing, quality_rules, url_filter
+from . import decontaminate, hmm_lm, html_extract, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_decontaminate, op5_url_filter, op8_quality_rules, op9_packing, op10_hmm_lm)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_near_dedup, op4_decontaminate, op5_url_filter, op6_html_extract, op7_quality_classifier, op8_quality_rules, op9_packing, op10_hmm_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
