@@ -81,7 +81,8 @@ class Model:
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         n = np.fromiter(counts.values(), np.float64, len(counts))
-        scores = n @ self.logs[self.rows(list(counts))]
+        rows = self.rows(list(counts))  # may replace the matrix
+        scores = n @ self.logs[rows]
         best = int(scores.argmax())
         # tempered by the root of the length: the words of a text aren't independent
         shares = np.exp((scores - scores[best]) / np.sqrt(n.sum()))
