@@ -214,6 +214,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sums = each.groupBy("host", "t").agg(
         F.count("*").alias("pages"), F.sum(F.col("c") * first).alias("v1"), F.sum(F.col("c") * second).alias("v2"), F.max("kind").alias("kind"), F.sum("mass").alias("mass"), F.max("depth").alias("depth")
     )
+    sums = staged(sums, "tokens")  # read twice
     # the root token is on every page
     roots = sums.where("depth = 0").select(F.col("host").alias("h"), F.col("pages").alias("all"))
     frequent = sums.join(roots, F.col("host").eqNullSafe(F.col("h"))).where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all")))

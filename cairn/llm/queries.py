@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, html_extract, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, url_filter
+from . import decontaminate, hmm_lm, html_extract, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
