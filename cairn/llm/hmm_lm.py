@@ -109,8 +109,8 @@ def _encode(shared):
                 else:
                     at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
                 symbol = np.where(known & (codes.symbols[at] >= 0), codes.symbols[at], VOCABULARY + k) if len(codes.hashes) else VOCABULARY + k
-                base = np.bincount(row[known], codes.base[at[known]], rows)
-                inside = np.bincount(row[known], codes.inside[at[known]], rows)
+                # a sum over nothing would be of whole numbers
+                base, inside = (np.bincount(row[known], x[at[known]], rows).astype(np.float64) for x in (codes.base, codes.inside))
                 n_known = np.bincount(row[known], minlength=rows)
                 # each row's symbols and its end
                 place = np.arange(len(h)) + row

@@ -267,5 +267,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = components(links.union(more))
     of_class = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component"))
     out = features.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
