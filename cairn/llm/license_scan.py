@@ -107,7 +107,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hopeful = either([held(w) & either([held(x) for x in others]) for w, others in sorted(by_longer.items())])
     base = base.withColumn("lower", F.lower("text"))
     units = F.when(hopeful & F.col("text").rlike(anchor), F.filter(_units(F.col("text")), lambda u: u.rlike(anchor)))
-    found = base.select("id", units.alias("units")).select("id", F.transform("units", lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " ")).alias("units"))
+    # units of the same words are one
+    words = F.array_distinct(F.transform("units", lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " ")))
+    found = base.select("id", units.alias("units")).select("id", words.alias("units"))
     # bigrams count repeats here, which only widens the upper bound: distinct ones are counted below
     found = found.select("id", F.filter("units", lambda w: F.size(w) > fewest).alias("units"))
     pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))

@@ -1,5 +1,7 @@
 """The queries of this subpackage that SQL can express, in DuckDB's SQL, by plain methods over the same tables."""
 
+from . import license_scan, quality_rules
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DEDUP = f"""
@@ -38,4 +40,59 @@ met AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, leng
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN met USING (page_id)
 """
 
-ORACLES = {"op3_near_dedup": NEAR_DEDUP, "op4_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER}
+
+
+def _licenses() -> str:
+    flat = sorted((name, license_scan.bigrams_of(t)) for name, texts in license_scan.TEMPLATES.items() for t in texts)
+    rows = ", ".join(f"({k}, '{name}', [{', '.join(repr(b) for b in grams)}])" for k, (name, grams) in enumerate(flat))
+    return rf"""
+WITH templates AS (SELECT * FROM (VALUES {rows}) t(k, name, g)),
+lower AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+raw AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?:;])[	
+ ]+', '' || chr(10), 'g'), chr(10))) AS u FROM lower
+    UNION ALL SELECT doc_id, unnest(string_split(t, chr(10))) FROM lower UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '
+[	
+ ]*
+')) FROM lower UNION ALL SELECT doc_id, t FROM lower),
+units AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(u, '[a-z0-9]+'), ' ') AS x FROM raw),
+few AS (SELECT doc_id, string_split(x, ' ') AS w FROM units WHERE length(x) - length(replace(x, ' ', '')) >= 1),
+grams AS (SELECT doc_id, row_number() OVER () AS unit, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM few),
+met AS (SELECT doc_id, unit, k, name, 2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g)) AS dice FROM grams JOIN templates
+    ON len(grams.g) BETWEEN ceil({license_scan.LEAST} / (2 - {license_scan.LEAST}) * len(templates.g) - 1e-9) AND floor((2 - {license_scan.LEAST}) / {license_scan.LEAST} * len(templates.g) + 1e-9)),
+best AS (SELECT doc_id, k, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, k) AS n FROM met) WHERE n = 1 AND dice >= {license_scan.LEAST}),
+top AS (SELECT doc_id, count(*) AS n_units, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY 1),
+first AS (SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k) AS n FROM best) WHERE n = 1)
+SELECT d.doc_id, first.name AS license, top.dice, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN top USING (doc_id) LEFT JOIN first USING (doc_id)
+"""
+
+
+def _rules() -> str:
+    q = quality_rules
+    langs, words = (", ".join(f"'{x}'" for x in xs) for xs in (q.LANGUAGES, q.WORDS))
+    cut = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+t AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+spots AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM spots) WHERE c > 1) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY 1),
+base AS (SELECT t.doc_id, lang, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({cut('[#*$%&|<>]')} AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+    FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+classes AS (SELECT doc_id, lang, base_failed, n_words, unnest([{cut(r'\p{Ll}')}, {cut(r'\p{Lu}')}, {cut(r'\p{Nd}')}, length(text) - word_chars, length(text) - ({cut(r'[\p{Ll}\p{Lu}\p{Nd}]')}) - (length(text) - word_chars)]) AS c, CAST(unnest([1, 2, 3, 4, 5]) AS VARCHAR) AS bin, greatest(length(text), 1) AS total FROM judged),
+spoken AS (SELECT doc_id, rtrim(lower(unnest(w)), '.,;:!?') AS bin FROM judged),
+counted AS (SELECT doc_id, bin, count(*) AS c FROM spoken WHERE bin IN ({words}) GROUP BY 1, 2),
+grid AS (SELECT doc_id, lang, base_failed, n_words, bin, coalesce(c, 0) AS c FROM (SELECT doc_id, lang, base_failed, n_words, unnest([{words}]) AS bin FROM judged) LEFT JOIN counted USING (doc_id, bin)),
+rest AS (SELECT doc_id, any_value(lang) AS lang, any_value(base_failed) AS base_failed, any_value(n_words) AS n_words, ' ' AS bin, greatest(any_value(n_words) - sum(c), 0) AS c FROM grid GROUP BY 1),
+hist AS (SELECT 'c' AS kind, doc_id, lang, base_failed, n_words, bin, c, total FROM classes UNION ALL SELECT 'w', doc_id, lang, base_failed, n_words, bin, c, greatest(n_words, 1) FROM grid UNION ALL SELECT 'w', doc_id, lang, base_failed, n_words, bin, c, greatest(n_words, 1) FROM rest),
+sums AS (SELECT kind, lang AS ref, bin, sum(c) AS c FROM hist WHERE lang IN ({langs}) AND NOT base_failed AND n_words >= {q.MIN_WORDS} GROUP BY 1, 2, 3),
+refs AS (SELECT kind, ref, bin, c / greatest(sum(c) OVER (PARTITION BY kind, ref), 1) AS q FROM sums),
+far AS (SELECT kind, doc_id, lang, ref, sqrt(greatest(0, sum(((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2))) AS x FROM (SELECT kind, doc_id, lang, bin, c / total AS p FROM hist) JOIN refs USING (kind, bin) GROUP BY 1, 2, 3, 4),
+own AS (SELECT kind, doc_id, coalesce(max(x) FILTER (ref = lang), least(min(x), 1.0)) AS x FROM far GROUP BY 1, 2),
+placed AS (SELECT j.*, coalesce(a.x, 0) AS cd, coalesce(b.x, 0) AS wd, coalesce(j.lang IN (SELECT ref FROM refs), false) AS known FROM judged j LEFT JOIN own a ON a.kind = 'c' AND a.doc_id = j.doc_id LEFT JOIN own b ON b.kind = 'w' AND b.doc_id = j.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
+    NOT base_failed AND NOT (known AND n_words >= {q.MIN_WORDS} AND (cd > {q.MAX_CLASS_DISTANCE} OR wd > {q.MAX_WORD_DISTANCE} OR (cd > {q.BOTH_CLASS} AND wd > {q.BOTH_WORD}))) AS kept FROM placed
+"""
+
+
+ORACLES = {"op2_license_scan": _licenses(), "op3_near_dedup": NEAR_DEDUP, "op4_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER, "op8_quality_rules": _rules()}
