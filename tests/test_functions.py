@@ -157,3 +157,8 @@ def test_merge_model(spark):
     df = spark.createDataFrame(rows, "bucket string, key string, seq long, marker boolean")
     got = {r["key"]: r["seq"] for r in merge.merge_runs([df.where(F.col("seq") % 4 == k) for k in range(4)], ["bucket", "key"]).collect()}
     assert got == {k: v for k, v in model.items() if v is not None}
+
+
+def test_shares():
+    assert series.share_interval(3, 10) == pytest.approx((0.06674, 0.65245), abs=1e-4)
+    assert series.share_interval(0, 5)[0] == 0.0 and series.share_interval(5, 5)[1] == 1.0
