@@ -55,7 +55,8 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    found = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    return found.withColumn("kept", F.col("good"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
