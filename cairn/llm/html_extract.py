@@ -1,14 +1,13 @@
-"""Main text of web pages by template deduction over the pages of a host.
+"""Main text of web pages by what a host's pages have in common.
 
-A page's containers (elements that hold blocks) are tokens, told apart by their path of tags, classes and ids. Over
-the pages of one host each token has an occurrence vector, its count on each page. Tokens with equal vectors form an
-equivalence class; those on enough pages are the template, and what changes between their tags are its slots. Vectors
-are never gathered: two random projections of them, sums over pages, are equal for equal vectors.
+A page's containers (elements that hold blocks) are tokens: their path of tags, classes and ids. A
+token on enough pages is template; it is a slot unless its own text is the same on that many pages. A host's content is
+its articles, else its main elements, or where it has neither, the slot with the most text outside links. No class of tokens is tested for its order:
+this is not the template deduction by equivalence classes that the method is named for.
 
-Of a template's containers, those are content that are marked as such (article, main) or, where none is, the one whose
-slots hold the most text outside links, in the largest class nested in the page's own. A page's text is what its content
-containers hold, without the noise nested in them (menus, adverts, forms, scripts, comments and the like). Pages of
-hosts with too few pages, or without any of their host's containers, choose by the same rules from themselves alone.
+A page's text is what its content containers hold, without the noise nested in them (menus,
+adverts, forms, scripts, comments and the like). Pages of hosts with too few pages, or without any of their host's
+containers, choose by marks and mass from themselves alone.
 
 Defined results: null html is an empty page with empty text; a null url is a host of its own; repeated rows are
 extracted one by one; malformed markup is read as far as it goes (unclosed elements end with their parents, an
@@ -53,6 +52,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.pieces: list[tuple[int, bool, bool, str] | None] = []
         self.paths: list[str] = [""]
+        self.tags: list[str] = [""]
         self.parents: list[int] = [-1]
         self.kinds: list[int] = [0]  # 3 article, 2 main, 1 named as content, 0 other
         self.noisy: list[bool] = [False]
@@ -118,6 +118,7 @@ class Page:
             if tag in CONTAINERS:
                 label = tag + "".join(sorted(f".{w}" for a, v in names if a == "class" for w in v.split())) + "".join(f"#{v}" for a, v in names if a == "id")
                 self.paths.append(f"{self.paths[at]}>{label}")
+                self.tags.append(f"{self.tags[at]}>{tag}")
                 self.parents.append(at)
                 self.kinds.append(kind)
                 self.noisy.append(noise)
@@ -135,17 +136,21 @@ class Page:
                 got[piece[0]] += len(piece[3].strip())
         return got
 
-    def chosen(self, known: set[int] | None) -> set[int]:
+    def chosen(self, frequent: set[int] | None, content: set[int] | None) -> set[int]:
         """Content containers: those that the host's template names, or the page's own best."""
-        if known:
-            found = {i for i, p in enumerate(self.paths) if not self.noisy[i] and token(p) in known}
+        articles = {i for i, k in enumerate(self.kinds) if k == 3 and not self.noisy[i]}
+        if content:
+            tokens = [token(p) for p in self.paths]
+            found = {i for i, t in enumerate(tokens) if not self.noisy[i] and t in content}
             if found:
                 return found
+        if articles:
+            return articles
         mass = self.mass()
-        for kind in (3, 2, 1):
+        for kind in (2, 1):
             of_kind = [i for i, k in enumerate(self.kinds) if k == kind and not self.noisy[i]]
             if of_kind:
-                return set(of_kind) if kind == 3 else {max(of_kind, key=lambda i: (self._whole(i, mass), -i))}
+                return {max(of_kind, key=lambda i: (self._whole(i, mass), -i))}
         return {max(range(len(mass)), key=lambda i: (mass[i], -i))}
 
     def _whole(self, i: int, mass: list[int]) -> int:
@@ -178,52 +183,70 @@ def token(path: str) -> int:
 
 
 def _tokens(batches):
-    """Each page's container tokens with count, kind and mass."""
+    """Each page's containers by both paths: mark, own mass, mass with what is nested, and own text as a hash."""
     for batch in batches:
         rows = []
         for html in batch.column(1).to_pylist():
             page = Page(html or "")
             mass = page.mass()
-            found: dict[str, list[int]] = {}
-            for i, path in enumerate(page.paths):
-                if not page.noisy[i]:
-                    x = found.setdefault(path, [0, page.kinds[i], 0])
-                    x[0] += 1
-                    x[2] += mass[i]
-            rows.append([{"t": token(p), "c": c, "kind": k, "mass": m, "depth": p.count(">")} for p, (c, k, m) in found.items()])
-        kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("depth", pa.int32())]))
+            whole = list(mass)
+            outer = [0] * len(mass)  # mark of the containers around
+            texts: list[list[str]] = [[] for _ in mass]
+            for piece in page.pieces:
+                if piece and not piece[1] and not piece[2]:
+                    texts[piece[0]] += piece[3].split()
+            for i in range(len(mass) - 1, 0, -1):
+                whole[page.parents[i]] += whole[i]
+            for i in range(1, len(mass)):
+                outer[i] = max(outer[page.parents[i]], page.kinds[page.parents[i]])
+            rows.append(
+                [
+                    {"p": token(path), "q": token(tags), "kind": kind, "outer": over, "mass": m, "whole": w, "text": token(" ".join(text)) >> 20, "depth": path.count(">")}
+                    for path, tags, kind, over, m, w, text, noisy in zip(page.paths, page.tags, page.kinds, outer, mass, whole, texts, page.noisy, strict=True)
+                    if not noisy
+                ]
+            )
+        kind = pa.list_(pa.struct([("p", pa.int64()), ("q", pa.int64()), ("kind", pa.int32()), ("outer", pa.int32()), ("mass", pa.int64()), ("whole", pa.int64()), ("text", pa.int64()), ("depth", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, kind)], ["host", "r", "tokens"])
 
 
 def _extract(batches):
     for batch in batches:
-        known = batch.column(3).to_pylist()
+        known = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
         texts = []
-        for html, tokens in zip(batch.column(2).to_pylist(), known, strict=True):
+        for html, (frequent, content) in zip(batch.column(2).to_pylist(), known, strict=True):
             page = Page(html or "")
-            texts.append(page.text(page.chosen(set(tokens) if tokens else None)))
+            texts.append(page.text(page.chosen(set(frequent or ()), set(content or ()))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, content): tokens of each host's content containers, deduced over all its pages; one short row a host."""
-    tokens = pages.mapInArrow(_tokens, "host string, r long, tokens array<struct<t: long, c: int, kind: int, mass: long, depth: int>>")
-    each = tokens.select("host", "r", F.explode("tokens").alias("x")).select("host", "r", "x.*")
-    # two projections of the occurrence vector, 30 random bits a page
-    first, second = (F.pmod(F.xxhash64("r", F.lit(k)), F.lit(1 << 30)) for k in (1, 2))
-    sums = each.groupBy("host", "t").agg(
-        F.count("*").alias("pages"), F.sum(F.col("c") * first).alias("v1"), F.sum(F.col("c") * second).alias("v2"), F.max("kind").alias("kind"), F.sum("mass").alias("mass"), F.max("depth").alias("depth")
-    )
-    sums = staged(sums, "tokens")  # read twice
+    """(host, frequent, content): each host's template tokens and those of its content containers; one short row a host."""
+    kind = "array<struct<p: long, q: long, kind: int, outer: int, mass: long, whole: long, text: long, depth: int>>"
+    each = pages.where("host is not null").mapInArrow(_tokens, f"host string, r long, tokens {kind}").select("host", "r", F.explode("tokens").alias("x")).select("host", "r", "x.*")
+    each = staged(each, "tokens")  # read twice
     # the root token is on every page
-    roots = sums.where("depth = 0").select(F.col("host").alias("h"), F.col("pages").alias("all"))
-    frequent = sums.join(roots, F.col("host").eqNullSafe(F.col("h"))).where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all")))
-    classes = frequent.groupBy("host", "v1", "v2").agg(F.count("*").alias("size"), F.collect_list(F.struct("kind", "mass", "depth", "t")).alias("members"))
-    members = classes.select("host", "size", F.explode("members").alias("m")).where("m.depth > 0")
-    best = members.groupBy("host").agg(F.max("m.kind").alias("top"), F.max(F.struct("m.mass", "size", "m.t")).alias("heavy"))
-    marked = members.join(best.withColumnsRenamed({"host": "h"}), F.col("host").eqNullSafe(F.col("h")))
-    content = F.when(F.col("top") >= 2, F.col("m.kind") == F.col("top")).otherwise(F.col("m.t") == F.col("heavy.t"))
-    return marked.where(content).groupBy("host").agg(F.collect_set("m.t").alias("content"))
+    roots = each.where("depth = 0").groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST_PAGES)
+    enough = F.col("pages") >= SUPPORT * F.col("all")
+    told = each.withColumns({"t": F.col("p"), "whole_path": F.lit(True)})
+    # what one page has of a token, then how many pages have the same text of it
+    page = told.groupBy("host", "t", "r").agg(
+        F.max(F.when(F.col("whole_path"), F.col("kind"))).alias("k1"), F.min("kind").alias("k2"), F.min("outer").alias("outer"), F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.sum("text").alias("text"), F.max("depth").alias("depth")
+    )
+    alike = page.groupBy("host", "t", "text").agg(
+        F.count("*").alias("same"), F.max("k1").alias("k1"), F.min("k2").alias("k2"), F.min("outer").alias("outer"), F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.sum(F.log1p("mass")).alias("logs"), F.max("depth").alias("depth")
+    )
+    sums = alike.groupBy("host", "t").agg(
+        F.sum("same").alias("pages"), F.max("same").alias("same"), F.coalesce(F.max("k1"), F.min("k2")).alias("kind"), F.min("outer").alias("outer"), F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.sum("logs").alias("logs"), F.max("depth").alias("depth")
+    )
+    frequent = sums.join(roots, "host").where(enough & (F.col("depth") > 0))
+    members = F.collect_list(F.struct("t", "kind", "outer", "mass", "whole", (F.expm1(F.col("logs") / F.col("pages"))).alias("usual"), (F.col("same") < SUPPORT * F.col("all")).alias("varies")))
+    hosts = frequent.groupBy("host").agg(members.alias("m"))
+    heavy = F.array_max(F.transform(F.filter("m", lambda x: x["varies"]), lambda x: F.struct(x["mass"], x["t"])))
+    hosts = hosts.withColumns({"top": F.array_max(F.transform("m", lambda x: x["kind"])), "heavy": heavy})
+    by_mark, by_mass = F.filter("m", lambda x: x["kind"] == F.col("top")), F.filter("m", lambda x: x["t"] == F.col("heavy.t"))
+    marked = F.col("top") >= 2
+    return hosts.select("host", F.transform("m", lambda x: x["t"]).alias("frequent"), F.transform(F.when(marked, by_mark).otherwise(by_mass), lambda x: x["t"]).alias("content"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -231,6 +254,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     small_batches(pages.sparkSession, 500)
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     found = staged(templates(source.select("host", "html", F.xxhash64("id", "url").alias("r"))), "templates")
-    joined = source.join(found, "host", "left").select("id", "url", "html", "content")
+    joined = source.join(found, "host", "left").select("id", "url", "html", "frequent", "content")
     out = joined.mapInArrow(_extract, "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -292,6 +292,23 @@ def test_template_finds_the_varying_slot(spark):
     assert all("short" not in got[n] for n in range(8)) and got[8] == "few"
 
 
+def texts_of(spark, pages):
+    rows = [(n, f"http://h.example/{n}", f"<html><body>{p}</body></html>") for n, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(rng, n):
+    return " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+
+
+def test_template_text_is_no_slot(spark):
+    """A block that is the same on a host's pages is template, however long."""
+    rng = random.Random(3)
+    about = "The same long words about this place on every page. " * 20
+    got = texts_of(spark, [f"<div class=x>{about}</div><div class=y>{prose(rng, 30)} end{n}</div>" for n in range(8)])
+    assert all("same long" not in got[n] and got[n].endswith(f"end{n}") for n in range(8))
+
+
 # 7
 
 
