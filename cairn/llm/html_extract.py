@@ -1,11 +1,13 @@
 """Main text of web pages by what a host's pages have in common.
 
-A page's containers (elements that hold blocks) are tokens: their path of tags, classes and ids. A
+A page's containers (elements that hold blocks) are tokens: their path of tags, classes and ids where that is on enough
+of the host's pages, else their path of tags alone, so that ids and classes of single pages don't hide a container. A
 token on enough pages is template; it is a slot unless its own text is the same on that many pages. A host's content is
-its articles, else its main elements, or where it has neither, the slot with the most text outside links. No class of tokens is tested for its order:
+its articles and main elements, whichever hold the most (see ``templates``), or where it has neither, the slot with the
+most text outside links and every other that typically holds a passage. No class of tokens is tested for its order:
 this is not the template deduction by equivalence classes that the method is named for.
 
-A page's text is what its content containers hold, without the noise nested in them (menus,
+A page's text is what its content containers and its own articles hold, without the noise nested in them (menus,
 adverts, forms, scripts, comments and the like). Pages of hosts with too few pages, or without any of their host's
 containers, choose by marks and mass from themselves alone.
 
@@ -29,6 +31,7 @@ from .url_filter import host_of
 
 LEAST_PAGES = 3  # of a host that a template is deduced for
 SUPPORT = 0.6  # share of a host's pages that hold a template token
+PASSAGE = 40  # characters outside links that a further slot typically holds
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -137,13 +140,14 @@ class Page:
         return got
 
     def chosen(self, frequent: set[int] | None, content: set[int] | None) -> set[int]:
-        """Content containers: those that the host's template names, or the page's own best."""
+        """Content containers: those that the host's template names and the page's own articles, or the page's own best."""
         articles = {i for i, k in enumerate(self.kinds) if k == 3 and not self.noisy[i]}
         if content:
-            tokens = [token(p) for p in self.paths]
+            tokens = [t if (t := token(p)) in frequent else token(q) for p, q in zip(self.paths, self.tags, strict=True)]
             found = {i for i, t in enumerate(tokens) if not self.noisy[i] and t in content}
             if found:
-                return found
+                # an article that is template and not content is a teaser
+                return found | {i for i in articles if tokens[i] not in frequent}
         if articles:
             return articles
         mass = self.mass()
@@ -224,11 +228,13 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, frequent, content): each host's template tokens and those of its content containers; one short row a host."""
     kind = "array<struct<p: long, q: long, kind: int, outer: int, mass: long, whole: long, text: long, depth: int>>"
     each = pages.where("host is not null").mapInArrow(_tokens, f"host string, r long, tokens {kind}").select("host", "r", F.explode("tokens").alias("x")).select("host", "r", "x.*")
-    each = staged(each, "tokens")  # read twice
+    each = staged(each, "tokens")  # read three times
     # the root token is on every page
     roots = each.where("depth = 0").groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST_PAGES)
     enough = F.col("pages") >= SUPPORT * F.col("all")
-    told = each.withColumns({"t": F.col("p"), "whole_path": F.lit(True)})
+    of_page = each.groupBy("host", "p", "r").agg(F.count("*").alias("c")).groupBy("host", "p").agg(F.count("*").alias("pages"))
+    paths = of_page.join(roots, "host").where(enough).select("host", "p", F.lit(True).alias("whole_path"))
+    told = each.join(paths, ["host", "p"], "left").withColumn("t", F.when(F.col("whole_path"), F.col("p")).otherwise(F.col("q")))
     # what one page has of a token, then how many pages have the same text of it
     page = told.groupBy("host", "t", "r").agg(
         F.max(F.when(F.col("whole_path"), F.col("kind"))).alias("k1"), F.min("kind").alias("k2"), F.min("outer").alias("outer"), F.sum("mass").alias("mass"), F.sum("whole").alias("whole"), F.sum("text").alias("text"), F.max("depth").alias("depth")
@@ -242,10 +248,14 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = sums.join(roots, "host").where(enough & (F.col("depth") > 0))
     members = F.collect_list(F.struct("t", "kind", "outer", "mass", "whole", (F.expm1(F.col("logs") / F.col("pages"))).alias("usual"), (F.col("same") < SUPPORT * F.col("all")).alias("varies")))
     hosts = frequent.groupBy("host").agg(members.alias("m"))
-    heavy = F.array_max(F.transform(F.filter("m", lambda x: x["varies"]), lambda x: F.struct(x["mass"], x["t"])))
-    hosts = hosts.withColumns({"top": F.array_max(F.transform("m", lambda x: x["kind"])), "heavy": heavy})
-    by_mark, by_mass = F.filter("m", lambda x: x["kind"] == F.col("top")), F.filter("m", lambda x: x["t"] == F.col("heavy.t"))
-    marked = F.col("top") >= 2
+    total = lambda which: F.aggregate(F.filter("m", which), F.lit(0).cast("long"), lambda s, x: s + x["whole"])
+    article = lambda x: (x["kind"] == 3) & (x["outer"] < 3)
+    main = lambda x: (x["kind"] == 2) & (x["outer"] < 2)
+    hosts = hosts.withColumns({"articles": total(article), "mains": total(main), "heavy": F.array_max(F.transform(F.filter("m", lambda x: x["varies"]), lambda x: F.struct(x["mass"], x["t"])))})
+    # articles hold the page where main adds less than they have; else main does, and articles of less are teasers
+    marked = F.exists("m", lambda x: x["kind"] >= 2)
+    by_mark = F.when(2 * F.col("articles") >= F.col("mains"), F.filter("m", article)).otherwise(F.filter("m", main))
+    by_mass = F.filter("m", lambda x: x["varies"] & ((x["t"] == F.col("heavy.t")) | (x["usual"] >= PASSAGE)))
     return hosts.select("host", F.transform("m", lambda x: x["t"]).alias("frequent"), F.transform(F.when(marked, by_mark).otherwise(by_mass), lambda x: x["t"]).alias("content"))
 
 

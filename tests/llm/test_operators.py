@@ -309,6 +309,20 @@ def test_template_text_is_no_slot(spark):
     assert all("same long" not in got[n] and got[n].endswith(f"end{n}") for n in range(8))
 
 
+def test_template_keeps_whole_articles(spark):
+    """Ids of single pages, text over two containers, teasers beside main, and articles that only some pages have."""
+    rng = random.Random(4)
+    body = [prose(rng, 40) for _ in range(9)]
+    got = texts_of(spark, [f"<div class=x>{prose(rng, 90)}</div><article id=post-{n} class=p{n}><div class=in{n}>{body[n]}</div></article>" for n in range(9)])
+    assert all(got[n] == body[n] for n in range(9))
+    got = texts_of(spark, [f"<div class=lead>{prose(rng, 12)} lead{n}</div><div class=rest>{body[n]} {body[n - 1]}</div>" for n in range(9)])
+    assert all(f"lead{n}" in got[n] and got[n].endswith(body[n - 1]) for n in range(9))
+    got = texts_of(spark, [f"<main>{body[n]}</main><article class=card>go {n}</article>" for n in range(9)])
+    assert all(got[n] == body[n] for n in range(9))
+    got = texts_of(spark, [f"<div class=x>{body[n]}</div>" + (f"<section><article>own{n}</article></section>" if n < 2 else "") for n in range(9)])
+    assert all(got[n].endswith(f"own{n}") for n in range(2)) and got[5] == body[5]
+
+
 # 7
 
 
