@@ -78,21 +78,18 @@ def saturation_depth(lake: Lake) -> DataFrame:
 
 @query("series_judged")
 def series_judged(lake: Lake) -> DataFrame:
-    """Each user's values in blocks of 60 rounds, judged. Blocks bound what one group holds."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
-    rows = lake.version_log().select("user_id", "seq", "value", F.floor((place - 1) / 60).cast("int").alias("block"))
+    """Each user's values in order, judged as one series; one beyond MAX_ROUNDS is untested."""
+    rows = lake.version_log().select("user_id", "seq", "value")
 
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = series.judge(pdf.sort_values("seq")["value"].to_numpy())
         ranks = series.median_ranks(len(pdf))
         xs = sorted(pdf["value"])
         low, high = (xs[ranks[0] - 1], xs[ranks[1] - 1]) if ranks else (None, None)
-        return pd.DataFrame([{"user_id": key[0], "block": key[1], **got, "low": low, "high": high}])
+        return pd.DataFrame([{"user_id": key[0], **got, "low": low, "high": high}])
 
-    schema = "user_id long, block int, rounds int, order string, lag1 double, runs int, dip double, critical double, states int, low double, high double"
-    return rows.groupBy("user_id", "block").applyInPandas(of, schema)
+    schema = "user_id long, rounds int, order string, lag1 double, runs int, dip double, critical double, states int, low double, high double"
+    return rows.groupBy("user_id").applyInPandas(of, schema)
 
 
 @query("durability_choice")

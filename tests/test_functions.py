@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import checksums, durability, keys, requests, rules, series
 from cairn.operators import dataflow, listing, merge, stats
+from cairn.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -162,3 +163,15 @@ def test_merge_model(spark):
 def test_shares():
     assert series.share_interval(3, 10) == pytest.approx((0.06674, 0.65245), abs=1e-4)
     assert series.share_interval(0, 5)[0] == 0.0 and series.share_interval(5, 5)[1] == 1.0
+
+
+def test_series_are_judged_whole(spark, tmp_path):
+    """120 rounds of one user are one series, as in the reference; one more is untested."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(seconds=n), user, "click", float(n % 7 + (n // 60) * 3), '{"k": 1}') for n, user in enumerate([1] * 120 + [2] * 121 + [3] * 9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: r for r in catalogue.queries()["series_judged"](spark, str(tmp_path)).collect()}
+    assert {u: r["rounds"] for u, r in got.items()} == {1: 120, 2: 121, 3: 9}
+    assert got[1]["order"] == "persistent" and got[1]["low"] is not None and got[2]["order"] == got[3]["order"] == "untested"
