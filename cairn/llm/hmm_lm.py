@@ -1,11 +1,13 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact scaled forward scores.
 
-A token is a symbol and, within it, a word: the ``vocabulary`` most frequent words and the text's end are symbols of
-their own; each other word falls, by its ending, into one of ``CLASSES`` class symbols, inside which its probability
+A token is a symbol and, within it, a word: words met ``OWN`` times in training (VOCABULARY of them at least, MOST at
+most, the most frequent ones) and the text's end are symbols of their own; each other word falls, by its ending, into one of ``CLASSES`` class symbols, inside which its probability
 is its smoothed share. States emit symbols, so that a text's probability is its symbols' forward likelihood times its
 words' shares in their classes. Word counts come from all training texts by a grouped sum; expected counts of
 transitions and emissions are summed across partitions in each round and only the model itself reaches the driver.
-Training cuts texts into stretches of ``STRETCH`` tokens; scoring never does.
+The start is free of data: emissions are the symbols' shares with noise. First each text lies in one state as a whole,
+then states move within texts; either goes on over all training texts until a round adds less than TOLERANCE to the
+log likelihood a token. No text is cut, in training or in scoring.
 
 The ``common`` most frequent words are broadcast with their counts (bounded by that parameter); all others meet their
 counts in a join by word hash.
@@ -30,10 +32,10 @@ STATES = 8
 VOCABULARY = 4000
 COMMON = 100_000
 CLASSES = 64
-STRETCH = 96
-ROUNDS = 2  # over all training texts
-FIRST_TEXTS = 400  # texts of the first guess, refined before the rounds over all
-FIRST_ROUNDS = 12
+OWN = 50  # training tokens from which a word is a symbol of its own
+MOST = 65_000  # words with symbols of their own: symbols are 16 bits
+HELD = 1_000_000  # tokens of whole texts that a training pass takes at once
+TOLERANCE = 0.005  # nats a token
 ALPHA = 0.1
 
 _WORDS = table_of()
@@ -85,7 +87,8 @@ def _count(batches):
 class Codes:
     """What the encoder needs of the common words, sorted by hash: symbol or -1, and log10 terms."""
 
-    def __init__(self, hashes: np.ndarray, symbols: np.ndarray, base: np.ndarray, inside: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, symbols: np.ndarray, base: np.ndarray, inside: np.ndarray, vocabulary: int) -> None:
+        self.vocabulary = vocabulary
         order = np.argsort(hashes)
         self.hashes, self.symbols, self.base, self.inside = hashes[order], symbols[order], base[order], inside[order]
 
@@ -95,7 +98,8 @@ def _encode(shared):
 
     def each(batches):
         codes = shared.value
-        end = VOCABULARY + CLASSES
+        first_class = codes.vocabulary
+        end = first_class + CLASSES
         for batch in batches:
             for a, b, data, bounds in pieces(batch.column(2)):
                 words = Words(data, bounds, _WORDS)
@@ -108,7 +112,7 @@ def _encode(shared):
                     known = codes.hashes[at] == h
                 else:
                     at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                symbol = np.where(known & (codes.symbols[at] >= 0), codes.symbols[at], VOCABULARY + k) if len(codes.hashes) else VOCABULARY + k
+                symbol = np.where(known & (codes.symbols[at] >= 0), codes.symbols[at], first_class + k) if len(codes.hashes) else first_class + k
                 # a sum over nothing would be of whole numbers
                 base, inside = (np.bincount(row[known], x[at[known]], rows).astype(np.float64) for x in (codes.base, codes.inside))
                 n_known = np.bincount(row[known], minlength=rows)
@@ -154,53 +158,66 @@ class Model:
 
 
 def expected(model: Model, lines: list[np.ndarray]) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, in one vector, over lines cut into stretches."""
+    """Expected counts of starts, moves and emissions, in one vector, over whole lines."""
+    return _expected(model, lines)[0]
+
+
+def _expected(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """These counts and the lines' log likelihood; each step over all lines that reach it."""
     s = STATES
     symbols = len(model.emit)
     out = np.zeros(s + s * s + symbols * s)
+    lines = sorted(lines, key=len, reverse=True)
     flat = np.concatenate(lines).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
-    cuts, first = [], []
-    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        marks = range(a, b, STRETCH)
-        cuts += marks
-        first += [True, *[False] * (len(marks) - 1)]
-    starts = np.array(cuts)
-    lengths = np.append(starts[1:], len(flat)) - starts
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths, first = starts[order], lengths[order], np.array(first)[order]
+    lengths = np.array([len(x) for x in lines])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     longest = int(lengths[0])
-    live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(longest)]
-    share = np.linalg.matrix_power(model.move, 64)[0]
+    live = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    alpha = np.empty((longest, len(starts), s), np.float32)
-    scale = np.empty((longest, len(starts)), np.float32)
+    back = np.ascontiguousarray(move.T)
+    wheres, alphas, scales, log = [], [], [], 0.0
     for t in range(longest):
         m = live[t]
-        b = emit[flat[starts[:m] + t]]
-        a = np.where(first[:, None], model.start, share).astype(np.float32) * b if t == 0 else (alpha[t - 1, :m] @ move) * b
-        c = a.sum(axis=1)
-        alpha[t, :m] = a / c[:, None]
-        scale[t, :m] = c
+        where = flat[starts[:m] + t]
+        a = model.start.astype(np.float32) * emit[where] if t == 0 else (alphas[-1][:m] @ move) * emit[where]
+        c = a.sum(axis=1, keepdims=True)
+        a /= c
+        wheres.append(where)
+        alphas.append(a)
+        scales.append(c)
+    log = float(np.log(np.concatenate(scales)).sum(dtype=np.float64))
     beta = np.ones((len(starts), s), np.float32)
     moves = np.zeros((s, s))
-    where, gammas = [], []
     for t in range(longest - 1, -1, -1):
         m = live[t]
-        gamma = alpha[t, :m] * beta[:m]
+        gamma = alphas[t] * beta[:m]
         gamma /= gamma.sum(axis=1, keepdims=True)
-        where.append(flat[starts[:m] + t])
-        gammas.append(gamma)
         if t:
-            step = emit[where[-1]] * beta[:m] / scale[t, :m, None]
-            moves += move * (alpha[t - 1, :m].T @ step)
-            beta[:m] = step @ move.T
+            step = emit[wheres[t]] * beta[:m] / scales[t]
+            moves += move * (alphas[t - 1][:m].T @ step)
+            beta[:m] = step @ back
         else:
-            out[:s] = gamma[first[:m]].sum(axis=0)
-    at, gamma = np.concatenate(where), np.concatenate(gammas)
+            out[:s] = gamma.sum(axis=0)
+        alphas[t] = gamma
+    at, gamma = np.concatenate(wheres), np.concatenate(alphas)
     out[s : s + s * s] = moves.ravel()
     out[s + s * s :] = np.stack([np.bincount(at, gamma[:, k], symbols) for k in range(s)], axis=1).ravel()
-    return out
+    return out, log
+
+
+def _whole(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Expected counts, without moves, and the log likelihood where each line lies in one state as a whole."""
+    s = STATES
+    flat = np.concatenate(lines).astype(np.int64)
+    lengths = np.array([len(x) for x in lines])
+    logs = np.add.reduceat(np.log(model.emit)[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0) + np.log(model.start)
+    top = logs.max(axis=1, keepdims=True)
+    share = np.exp(logs - top)
+    total = share.sum(axis=1, keepdims=True)
+    share /= total
+    each = np.repeat(share, lengths, axis=0)
+    emit = np.stack([np.bincount(flat, each[:, k], len(model.emit)) for k in range(s)], axis=1)
+    return np.concatenate([share.sum(axis=0), np.zeros(s * s), emit.ravel()]), float((top + np.log(total)).sum())
 
 
 def forward(model: Model, lines: list[np.ndarray]) -> np.ndarray:
@@ -232,21 +249,28 @@ def _lines(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in column]
 
 
-def _learn(shared):
+def _learn(shared, counts_of):
+    """A partition's sums of the counts that are not 0, and of the log likelihood at -1."""
+
     def each(batches):
-        model, total, lines, held = shared.value, None, [], 0
+        model, total, log, lines, held = shared.value, 0.0, 0.0, [], 0
+
+        def add():
+            got, more = counts_of(model, lines)
+            return total + got, log + more
+
         for batch in batches:
             for line in _lines(batch.column(0)):
                 lines.append(line)
                 held += len(line)
-                if held > 250_000:
-                    got = expected(model, lines)
-                    total, lines, held = got if total is None else total + got, [], 0
+                if held > HELD:
+                    total, log = add()
+                    lines, held = [], 0
         if lines:
-            got = expected(model, lines)
-            total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+            total, log = add()
+        if isinstance(total, np.ndarray):
+            i = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(total[i], log))], ["i", "x"])
 
     return each
 
@@ -261,47 +285,41 @@ def _score(shared):
     return each
 
 
-def _first_guess(lines: list[np.ndarray], unigram: np.ndarray) -> Model:
-    """Sticky states whose emissions begin at contiguous groups of the sample's texts that share symbols."""
-    s, symbols = STATES, len(unigram)
-    rng = np.random.default_rng(7)
-    profile = np.zeros((max(1, len(lines)), symbols), np.float32)
-    for i, line in enumerate(lines):
-        profile[i] = np.bincount(line, minlength=symbols)
-    profile /= np.maximum(1, profile.sum(axis=1, keepdims=True))
-    lift = np.sqrt(profile)
-    centre = lift[rng.permutation(len(lift))[:s]] if len(lift) >= s else np.repeat(lift[:1], s, axis=0)
-    for _ in range(8):  # spherical k-means on square roots of shares
-        near = (lift @ centre.T).argmax(axis=1)
-        for k in range(s):
-            if (near == k).any():
-                mean = lift[near == k].mean(axis=0)
-                centre[k] = mean / max(1e-9, float(np.linalg.norm(mean)))
-    emit = np.stack([0.7 * (profile[near == k].mean(axis=0) if (near == k).any() else unigram) for k in range(s)], axis=1)
-    emit = emit + 0.3 * unigram[:, None] * rng.uniform(0.7, 1.3, (symbols, s))
-    return Model(np.full(s, 1 / s), np.full((s, s), 0.1 / s) + 0.9 * np.eye(s), emit / emit.sum(axis=0))
+def _first_guess(unigram: np.ndarray) -> Model:
+    """Sticky states whose emissions are the symbols' shares with noise."""
+    s, rng = STATES, np.random.default_rng(7)
+    emit = unigram[:, None] * rng.uniform(0.7, 1.3, (len(unigram), s))
+    return Model(np.full(s, 1 / s), _sticky(), emit / emit.sum(axis=0))
+
+
+def _sticky() -> np.ndarray:
+    return np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
 
 
 def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
-    """Baum-Welch over all rows not held out, from a guess made on about FIRST_TEXTS of them."""
+    """Whole texts in one state, then Baum-Welch: either over all rows not held out, until the likelihood settles."""
     spark = encoded.sparkSession
     mine = encoded.where(~F.col("held"))
-    rows = mine.count()
-    if not rows:
+    tokens = mine.agg(F.sum("n_tokens")).first()[0]
+    if not tokens:
         s = STATES
         return Model(np.full(s, 1 / s), np.full((s, s), 1 / s), np.repeat(unigram[:, None], s, axis=1))
-    share = min(1.0, FIRST_TEXTS / rows)
-    some = mine.where((F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.col("n_tokens") <= 20_000)).select("symbols").limit(4 * FIRST_TEXTS).toArrow()
-    lines = _lines(some["symbols"]) if some.num_rows else []
-    model = _first_guess(lines, unigram)
-    for _ in range(FIRST_ROUNDS if lines else 0):
-        model = Model.of(expected(model, lines), unigram)
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
-        sums = mine.select("symbols").mapInArrow(_learn(shared), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        counts = np.zeros(STATES + STATES * STATES + len(unigram) * STATES)
-        counts[sums["i"].to_numpy()] = sums["x"].to_numpy()
-        model = Model.of(counts, unigram)
+    model = _first_guess(unigram)
+    for counts_of in (_whole, _expected):
+        before = -math.inf
+        while True:
+            shared = spark.sparkContext.broadcast(model)
+            sums = mine.select("symbols").mapInArrow(_learn(shared, counts_of), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+            i, x = sums["i"].to_numpy(), sums["x"].to_numpy()
+            counts = np.zeros(STATES + STATES * STATES + len(unigram) * STATES)
+            counts[i[i >= 0]] = x[i >= 0]
+            log = float(x[i < 0].sum()) / tokens
+            model = Model.of(counts, unigram)
+            if counts_of is _whole:
+                model.move = _sticky()
+            if log - before < TOLERANCE:
+                break
+            before = log
     return model
 
 
@@ -322,7 +340,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     base_of = lambda c: np.log10((c + ALPHA) / floor)
     top = words.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, k, n = (top[c].to_numpy() for c in ("h", "k", "n"))
-    symbol = np.where(np.arange(len(h)) < VOCABULARY, np.arange(len(h)), -1)
+    vocabulary = min(MOST, max(VOCABULARY, int((n >= OWN).sum())))
+    symbol = np.where(np.arange(len(h)) < vocabulary, np.arange(len(h)), -1)
     # what falls into each class: all words but those with symbols of their own
     sums = words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -332,12 +351,12 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     class_v -= np.bincount(k[own], minlength=CLASSES)
     class_floor = class_n + ALPHA * (class_v + 1)
     inside = np.where(own, 0.0, np.log10((n + ALPHA) / class_floor[k]))
-    shared = spark.sparkContext.broadcast(Codes(h.view(np.uint64), symbol, base_of(n), inside))
+    shared = spark.sparkContext.broadcast(Codes(h.view(np.uint64), symbol, base_of(n), inside, vocabulary))
     schema = "id long, held boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<long>, times array<int>, kinds array<int>"
     encoded = staged(source.mapInArrow(_encode(shared), schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    unigram = np.zeros(VOCABULARY + CLASSES + 1)
+    unigram = np.zeros(vocabulary + CLASSES + 1)
     unigram[: own.sum()] = n[own]
-    unigram[VOCABULARY : VOCABULARY + CLASSES] = class_n
+    unigram[vocabulary : vocabulary + CLASSES] = class_n
     unigram[-1] = texts
     unigram = (unigram + ALPHA) / (unigram + ALPHA).sum()
     model = spark.sparkContext.broadcast(train(encoded, unigram))

@@ -493,6 +493,44 @@ def test_baum_welch_counts():
     assert all(b > a - 1 for a, b in zip(logs, logs[1:], strict=False)) and logs[-1] > logs[0]
 
 
+def test_baum_welch_carries_over_long_lines():
+    """Expected counts of a long line are those of plain forward and backward passes over all of it."""
+    rng = np.random.default_rng(17)
+    m = model(rng)
+    s, line = hmm_lm.STATES, rng.integers(0, 6, 400).astype(np.uint16)
+    forth, back = [m.start * m.emit[line[0]]], [np.ones(s)]
+    for x in line[1:]:
+        forth.append(forth[-1] / forth[-1].sum() @ m.move * m.emit[x])
+    for x in line[:0:-1]:
+        b = m.move @ (m.emit[x] * back[-1])
+        back.append(b / b.sum())
+    back.reverse()
+    want = np.zeros(s + s * s + 6 * s)
+    for t, x in enumerate(line):
+        g = forth[t] * back[t] / (forth[t] @ back[t])
+        want[s + s * s + x * s : s + s * s + x * s + s] += g
+        if t:
+            step = forth[t - 1][:, None] * m.move * (m.emit[x] * back[t])
+            want[s : s + s * s] += (step / step.sum()).ravel()
+        else:
+            want[:s] = g
+    np.testing.assert_allclose(hmm_lm.expected(m, [line]), want, rtol=2e-3, atol=1e-3)
+
+
+def test_training_settles_over_all_texts(spark):
+    """A kind of text of one in a hundred is learned, and a further round over all texts adds next to nothing."""
+    rng = np.random.default_rng(18)
+    lines = [(rng.integers(0, 40, 60) + 40 * (i % 6 if i % 100 else 6)).astype(np.uint16) for i in range(3000)]
+    frame = spark.createDataFrame([(i, False, len(x), bytearray(x.tobytes())) for i, x in enumerate(lines)], "row long, held boolean, n_tokens long, symbols binary")
+    unigram = np.bincount(np.concatenate(lines), minlength=280) / sum(map(len, lines))
+    m = hmm_lm.train(frame, unigram)
+    n, log = sum(map(len, lines)), hmm_lm.forward(m, lines).sum()
+    again = hmm_lm.Model.of(hmm_lm.expected(m, lines), unigram)
+    assert hmm_lm.forward(again, lines).sum() - log < 0.005 * n
+    rare = [x for i, x in enumerate(lines) if i % 100 == 0]
+    assert hmm_lm.forward(m, rare).sum() > np.log(unigram[np.concatenate(rare)]).sum() + sum(map(len, rare))
+
+
 def plain_base(rows, held):
     counts = Counter()
     tokens = lambda t: [*split(low(t)), None]
