@@ -2,8 +2,10 @@
 
 Each text's histogram of character classes and of common words (and all others as one) is compared with its language's by Jensen-Shannon
 distance (0 to 1). References are gathered from all rows of the reference languages that pass the base rule.
-Texts of another or no language get the distance to the nearest reference for information and are judged by the
-base rule alone, as are texts of fewer than MIN_WORDS words.
+Texts of fewer than MIN_WORDS words in one of these languages are judged by the base rule alone. Texts of another or no
+language get the distance to the nearest reference; they are judged by the nearest of classes alone, at any length,
+with letters that have no case counted as lower-case ones: common words would reject every language not among the
+references, and classes every script without case.
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept; repeated rows are judged
 one by one; an empty table gives an empty result; only id, text and lang are read.
@@ -70,6 +72,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         F.length(no_lower).cast("long").alias("c1"),
         F.length(no_upper).cast("long").alias("c2"),
         F.length(no_digit).cast("long").alias("c3"),
+        # letters without case, and marks on them, of texts that no reference language is named for
+        F.when(_named(), 0).otherwise(F.col("chars") - F.length(F.regexp_replace("text", "[\\p{Lo}\\p{Lm}\\p{M}]", ""))).cast("long").alias("caseless"),
         F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")).alias("common"),
         # sorted with their places, and only where some window returns
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
@@ -89,6 +93,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         "n_symbols",
         "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        "caseless",
         F.array(F.col("chars") - F.col("c1"), F.col("c1") - F.col("c2"), F.col("c2") - F.col("c3"), white, F.col("c3") - white).alias("classes"),
         "n_words",
         F.transform(F.array(*map(F.lit, WORDS)), count).alias("hits"),
@@ -97,6 +102,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     return hits.withColumn("hits", F.concat("hits", rest))
 
 
+def _named() -> Column:
+    return F.coalesce(F.col("lang").isin(LANGUAGES), F.lit(False))
+
+
 def _total(name: str) -> Column:
     return F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -131,5 +140,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = F.coalesce(F.col("lang").isin(list(refs)), F.lit(False))
     by_class, by_word = F.col("class_distance"), F.col("word_distance")
     odd = (by_class > MAX_CLASS_DISTANCE) | (by_word > MAX_WORD_DISTANCE) | ((by_class > BOTH_CLASS) & (by_word > BOTH_WORD))
-    strange = known & (F.col("n_words") >= MIN_WORDS) & odd
+    moved = F.array(*[F.get("classes", i) + k * F.col("caseless") for i, k in enumerate((1, 0, 0, 0, -1))])
+    letters = F.transform(moved, lambda x: x / F.greatest(F.col("chars"), F.lit(1)))
+    nearest = F.least(*[_distance(letters, q) for q, _ in refs.values()], F.lit(1.0)) if refs else F.lit(0.0)
+    strange = F.when(known, (F.col("n_words") >= MIN_WORDS) & odd).otherwise(nearest > MAX_CLASS_DISTANCE)
     return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), (~_failed() & ~strange).alias("kept"), "class_distance", "word_distance")

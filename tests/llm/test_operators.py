@@ -387,6 +387,18 @@ def test_rules_see_divergence(spark):
     assert all(got[i] == (i < 60) for i in got)
 
 
+def test_rules_judge_texts_without_reference(spark):
+    """Junk in no or another language is rejected at any length; other languages and scripts without case are not."""
+    rng = random.Random(19)
+    plain = " ".join(rng.choice(["the", "house", "of", "rivers", "and", "Some", "winding", "roads."]) for _ in range(300))
+    junk = [" ".join(f"{rng.randrange(9999)} #{rng.randrange(99)}%" for _ in range(n)) for n in (8, 100)]
+    other = [" ".join(rng.choice(words) + rng.choice(words).lower() for _ in range(40)) for words in (["Die", "rzeka", "domy", "żółć", "się", "drogi,", "wie"], ["नदी", "घर", "और", "सड़क", "पानी", "लोग"], ["نهر", "بيت", "طريق", "ماء", "ناس"])]
+    rows = [(0, plain, "en"), *[(10 + i, t, g) for g, k in ((None, 0), ("xx", 2)) for i, t in enumerate(junk, k)], *[(20 + i, t, g) for g, k in ((None, 0), ("xx", 3)) for i, t in enumerate(other, k)]]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(not r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if r["kept"]} == {0, *range(20, 26)}
+
+
 def test_distance(spark):
     p, q = [0.5, 0.3, 0.2, 0.0], [0.1, 0.2, 0.3, 0.4]
     want = math.sqrt(sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q, strict=True)) / 2)
