@@ -23,7 +23,7 @@ from ._shared import staged
 MAX_TOKENS = 4096
 TOKEN_BUDGET = 32_768
 BUCKETS = 12
-BINS = 2048
+BINS = MAX_TOKENS  # every length
 SHARDS = 1024
 
 

@@ -443,6 +443,13 @@ def test_packing_keeps_all(spark, odd, empty):
     assert packing.pack(odd).agg(F.sum("n_tokens")).first()[0] == sum(len(split(r["text"])) + 1 for r in odd.select("text").collect())
 
 
+def test_packing_is_exact_by_default(spark):
+    """Few odd lengths are boundaries themselves: nothing is padded."""
+    rows = [(i, " ".join(["w"] * n)) for i, n in enumerate([0, 2, 4, 10, 10, 0])]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["bucket"] for r in got) == [1, 1, 3, 5, 11, 11] and sum(r["padding"] for r in got) == 0
+
+
 # 10
 
 
