@@ -5,7 +5,7 @@ the longest known ones first and shorter ones where those are unknown too. Texts
 
 The model is fitted on a bounded sample of the labelled rows (``sample`` rows of each language, picked by a hash of
 the id) and holds at most ``max_words`` words and ``max_grams`` n-grams a language; both bounds are parameters.
-At most ``max_langs`` languages are learned, the most frequent ones.
+Every language is learned.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled row every text
 does. Repeated rows are judged one by one; other columns are not read.
@@ -26,7 +26,6 @@ from ._shared import small_batches
 UNKNOWN = "und"
 LONGEST = 4  # characters of an n-gram, word edges included
 CACHED = 50_000  # unseen words that a worker remembers
-MAX_LANGS = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -114,7 +113,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on the rows of docs with a language: about ``sample`` texts of each, chosen by a hash of the id."""
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     langs = sorted(sizes)
     if not langs:
@@ -132,8 +131,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     totals = drawn_rows.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the most frequent words of each language: an aggregate of bounded size
-    each = max(1, min(max_words, 8 * max_words // len(langs)))
-    tops = totals.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "word")))), 1, each).alias("top"))
+    tops = totals.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "word")))), 1, max_words).alias("top"))
     tables = {g: Counter() for g in langs}
     for r in tops.collect():
         tables[r["lang"]] = Counter({x["word"]: x["n"] for x in r["top"]})

@@ -67,6 +67,13 @@ def test_language_cache_turns_over(monkeypatch):
         fresh.known = {w: i for w, i in fresh.known.items() if i < fresh.n_known}
 
 
+def test_every_language_is_learned(spark):
+    """The rarest of 66 languages too, with all its words."""
+    rows = [(100 * g + i, " ".join(f"{chr(97 + g % 26)}{chr(97 + g // 26)}{chr(97 + k)}" for k in range(6)), f"l{g}") for g in range(66) for i in range(1 if g > 63 else 2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=6)
+    assert len(model.langs) == 66 and model.n_known == 66 * 6 and model.predict(rows[-1][1])[0] == "l65"
+
+
 def test_language_odd(spark, odd, empty):
     got = language_id.predict(odd, language_id.fit(odd)).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
