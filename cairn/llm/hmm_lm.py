@@ -36,9 +36,12 @@ OWN = 50  # training tokens from which a word is a symbol of its own
 MOST = 65_000  # words with symbols of their own: symbols are 16 bits
 HELD = 1_000_000  # tokens of whole texts that a training pass takes at once
 TOLERANCE = 0.005  # nats a token
+TASK_TOKENS = 16_000_000  # training tokens of a task: its sums are as large as the model, whatever it has read
+SCALED = 12  # steps between scalings
 ALPHA = 0.1
 
 _WORDS = table_of()
+_COLUMNS = [f"x{k}" for k in range(STATES)]
 
 
 def _class_of(words: Words) -> np.ndarray:
@@ -163,46 +166,56 @@ def expected(model: Model, lines: list[np.ndarray]) -> np.ndarray:
 
 
 def _expected(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """These counts and the lines' log likelihood; each step over all lines that reach it."""
+    """These counts and the lines' log likelihood; each step over all lines that reach it.
+
+    Emissions are taken relative to the symbols' shares, so that forward and backward values stay near 1 between the
+    steps at which they are scaled; what the scales were falls out where each step's expectations are made to sum to 1.
+    """
     s = STATES
     symbols = len(model.emit)
-    out = np.zeros(s + s * s + symbols * s)
+    share = model.emit.mean(axis=1)
     lines = sorted(lines, key=len, reverse=True)
-    flat = np.concatenate(lines).astype(np.int64)
     lengths = np.array([len(x) for x in lines])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     longest = int(lengths[0])
-    live = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    back = np.ascontiguousarray(move.T)
-    wheres, alphas, scales, log = [], [], [], 0.0
-    for t in range(longest):
-        m = live[t]
-        where = flat[starts[:m] + t]
-        a = model.start.astype(np.float32) * emit[where] if t == 0 else (alphas[-1][:m] @ move) * emit[where]
-        c = a.sum(axis=1, keepdims=True)
-        a /= c
-        wheres.append(where)
-        alphas.append(a)
-        scales.append(c)
-    log = float(np.log(np.concatenate(scales)).sum(dtype=np.float64))
-    beta = np.ones((len(starts), s), np.float32)
-    moves = np.zeros((s, s))
-    for t in range(longest - 1, -1, -1):
-        m = live[t]
-        gamma = alphas[t] * beta[:m]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        if t:
-            step = emit[wheres[t]] * beta[:m] / scales[t]
-            moves += move * (alphas[t - 1][:m].T @ step)
-            beta[:m] = step @ back
-        else:
-            out[:s] = gamma.sum(axis=0)
-        alphas[t] = gamma
-    at, gamma = np.concatenate(wheres), np.concatenate(alphas)
-    out[s : s + s * s] = moves.ravel()
-    out[s + s * s :] = np.stack([np.bincount(at, gamma[:, k], symbols) for k in range(s)], axis=1).ravel()
-    return out, log
+    live = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    off = np.concatenate([[0], np.cumsum(live)])
+    # tokens by step, then by line
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = np.concatenate(lines)[starts[np.arange(off[-1]) - np.repeat(off[:-1], live)] + np.repeat(np.arange(longest), live)]
+    seen = (model.emit / share[:, None])[at]
+    move, back, ones = model.move, np.ascontiguousarray(model.move.T), np.ones(s)
+    alpha, beta = np.empty((len(at), s)), np.ones((len(at), s))
+    o, scales = off.tolist(), [np.log(share)[at].sum()]
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        c = x.dot(ones)
+        x /= c[:, None]
+        return c
+
+    np.multiply(model.start, seen[: o[1]], out=alpha[: o[1]])
+    for t in range(1, longest):
+        a, b = o[t], o[t + 1]
+        np.matmul(alpha[o[t - 1] : o[t - 1] + b - a], move, out=alpha[a:b])
+        alpha[a:b] *= seen[a:b]
+        if t % SCALED == 0:
+            scales.append(np.log(scaled(alpha[a:b])).sum())
+    last = off[lengths - 1] + np.arange(len(lines))
+    scales.append(np.log(alpha[last].dot(ones)).sum())
+    for t in range(longest - 1, 0, -1):
+        a, b = o[t], o[t + 1]
+        seen[a:b] *= beta[a:b]
+        before = beta[o[t - 1] : o[t - 1] + b - a]
+        np.matmul(seen[a:b], back, out=before)
+        if t % SCALED == 0:
+            scaled(before)
+    step = seen[o[1] :]
+    before = alpha[np.arange(o[1], len(at)) - np.repeat(live[:-1], live[1:])]
+    step /= ((before @ move) * step).dot(ones)[:, None]
+    moves = move * (before.T @ step)
+    alpha *= beta
+    scaled(alpha)
+    emitted = np.stack([np.bincount(at, alpha[:, k], symbols) for k in range(s)], axis=1)
+    return np.concatenate([alpha[: o[1]].sum(axis=0), moves.ravel(), emitted.ravel()]), float(sum(scales))
 
 
 def _whole(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -215,8 +228,7 @@ def _whole(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, float]:
     share = np.exp(logs - top)
     total = share.sum(axis=1, keepdims=True)
     share /= total
-    each = np.repeat(share, lengths, axis=0)
-    emit = np.stack([np.bincount(flat, each[:, k], len(model.emit)) for k in range(s)], axis=1)
+    emit = np.stack([np.bincount(flat, np.repeat(share[:, k], lengths), len(model.emit)) for k in range(s)], axis=1)
     return np.concatenate([share.sum(axis=0), np.zeros(s * s), emit.ravel()]), float((top + np.log(total)).sum())
 
 
@@ -250,7 +262,7 @@ def _lines(column) -> list[np.ndarray]:
 
 
 def _learn(shared, counts_of):
-    """A partition's sums of the counts that are not 0, and of the log likelihood at -1."""
+    """A partition's sums: the log likelihood at row -1, then starts, moves and each symbol that it holds."""
 
     def each(batches):
         model, total, log, lines, held = shared.value, 0.0, 0.0, [], 0
@@ -269,8 +281,11 @@ def _learn(shared, counts_of):
         if lines:
             total, log = add()
         if isinstance(total, np.ndarray):
-            i = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(total[i], log))], ["i", "x"])
+            rows = np.concatenate([np.full((1, STATES), log / STATES), total.reshape(-1, STATES)])
+            some = np.flatnonzero(rows.any(axis=1))
+            for a in range(0, len(some), 10_000):
+                i = some[a : a + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array((i - 1).astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[i, k])) for k in range(STATES))], ["i", *_COLUMNS])
 
     return each
 
@@ -304,17 +319,20 @@ def train(encoded: DataFrame, unigram: np.ndarray) -> Model:
     if not tokens:
         s = STATES
         return Model(np.full(s, 1 / s), np.full((s, s), 1 / s), np.repeat(unigram[:, None], s, axis=1))
+    # few tasks, as each hands on sums of the model's size; two a core at least
+    lines = mine.select("symbols").coalesce(max(2 * spark.sparkContext.defaultParallelism, tokens // TASK_TOKENS))
     model = _first_guess(unigram)
     for counts_of in (_whole, _expected):
         before = -math.inf
         while True:
             shared = spark.sparkContext.broadcast(model)
-            sums = mine.select("symbols").mapInArrow(_learn(shared, counts_of), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-            i, x = sums["i"].to_numpy(), sums["x"].to_numpy()
-            counts = np.zeros(STATES + STATES * STATES + len(unigram) * STATES)
-            counts[i[i >= 0]] = x[i >= 0]
-            log = float(x[i < 0].sum()) / tokens
-            model = Model.of(counts, unigram)
+            schema = ", ".join(["i int", *(f"{c} double" for c in _COLUMNS)])
+            sums = lines.mapInArrow(_learn(shared, counts_of), schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in _COLUMNS]).toArrow()
+            rows = np.zeros((2 + STATES + len(unigram), STATES))
+            rows[sums["i"].to_numpy() + 1] = np.stack([sums[c].to_numpy() for c in _COLUMNS], axis=1)
+            shared.unpersist()
+            log = float(rows[0].sum()) / tokens
+            model = Model.of(rows[1:].ravel(), unigram)
             if counts_of is _whole:
                 model.move = _sticky()
             if log - before < TOLERANCE:
