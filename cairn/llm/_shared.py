@@ -6,7 +6,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -18,9 +20,11 @@ M64 = (1 << 64) - 1
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a default of our own only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder, and a cluster's machines share none that can be guessed")
     return "file:///tmp/checkpoints"
 
 
@@ -32,9 +36,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's type as SQL names it."""
+    return df.schema[column].dataType.simpleString()
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, so that a verdict on a row can be had beside the row."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def schema_of(**fields: T.DataType | str) -> T.StructType:
+    """A schema of fields, each a type or the name of one."""
+    parsed = lambda kind: kind if isinstance(kind, T.DataType) else T._parse_datatype_string(kind)
+    return T.StructType([T.StructField(name, parsed(kind)) for name, kind in fields.items()])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the rows of an Arrow batch, as texts may be long; a smaller bound that is set already stays."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

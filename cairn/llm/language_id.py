@@ -8,7 +8,8 @@ the id) and holds at most ``max_words`` words and ``max_grams`` n-grams a langua
 Every language is learned.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any labelled row every text
-does. Repeated rows are judged one by one; other columns are not read.
+does; of equal scores the language first by name wins. A very long text is read whole, its words counted first.
+Repeated rows are judged one by one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import schema_of, small_batches, whole_row
 
 UNKNOWN = "und"
 LONGEST = 4  # characters of an n-gram, word edges included
 CACHED = 50_000  # unseen words that a worker remembers
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Blocks of marks that combine with letters.
+_MARKS = r"\u0300-\u036f\u0591-\u05bd\u05bf-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31-\u0e4e"
+_RUNS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters with the marks on them; a run of other numerals alone is none."""
+    return [w for w in _RUNS.findall((text or "").lower()) if w[0].isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -76,7 +84,7 @@ class Model:
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_LETTERS.findall(text.lower())) if text else {}
+        counts = Counter(words_of(text))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         n = np.fromiter(counts.values(), np.float64, len(counts))
@@ -125,7 +133,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(_LETTERS.findall((text or "").lower()))
+                found.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in found.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
@@ -138,8 +146,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return _build(langs, [tables[g] for g in langs], max_grams)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, lang_pred, score (0 to 1)."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row a document: id, lang_pred, score (0 to 1), and with ``carry`` the whole row."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -148,7 +156,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = shared.value
         for batch in batches:
             got = [model.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["id", "lang_pred", "score"])
+            more = [batch.column(2)] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), *more], [*schema.names])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(each, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([whole_row(docs)] if carry else []))
+    schema = schema_of(id=docs.schema[id_col].dataType, lang_pred="string", score="double", **({"row": docs.schema} if carry else {}))
+    return source.mapInArrow(each, schema).withColumnRenamed("id", id_col)
