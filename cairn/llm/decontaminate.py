@@ -8,25 +8,31 @@ is verified word by word.
 The index of a block of items is broadcast; blocks hold at most ``block_bytes`` of item text (a longer single item is
 a block of its own), and there are as many passes over the documents as blocks.
 
-Defined results: null or wordless texts have n_words 0 and hold nothing; items without words have no windows; items of
-equal text are counted each; repeated document rows are judged one by one (with several blocks, rows that share an id
-are one document). An empty benchmark leaves every document clean.
+Defined results: null or wordless texts have n_words 0 and hold nothing; items without words have no windows, items
+without an id are left out; items of equal text are counted each, rows of one item id are one item; of words equally
+rare the one of the smaller hash, then the first, enters a window. Repeated document rows, rows that share an id and
+rows with a null id are judged one by one, whatever the number of blocks. A very long text is a piece of its own, read
+whole. An empty table gives an empty result, an empty benchmark leaves every document clean. Other columns may have
+any names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._shared import Words, pieces, small_batches, table_of
+from ._shared import Words, pieces, schema_of, small_batches, staged, table_of, whole_row
 
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _WORDS = table_of(WORD_BYTES)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20  # of item text: an index holds some hundred times that
 
 
 def _words_of(texts: list[str | None]):
@@ -111,7 +117,7 @@ def _counted(vocabulary: np.ndarray):
     return each
 
 
-def _scan(shared):
+def _scan(shared, kind: pa.DataType):
     def each(batches):
         index = shared.value
         for batch in batches:
@@ -130,7 +136,7 @@ def _scan(shared):
                 for r, w in set(zip(row.tolist(), window.tolist(), strict=True)):
                     items[r].update(index.items[w])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(words.count), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+                    [batch.column(0)[a:b], pa.array(words.count), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(kind))],
                     ["id", "n_words", "hits", "items"],
                 )
 
@@ -138,6 +144,7 @@ def _scan(shared):
 
 
 def _block(items: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, n_words, hits, items) by the windows of a block of items: one pass that counts its words, one that scans."""
     spark = docs.sparkSession
     got = items.toArrow()
     ids, texts = got["id"].to_pylist(), got["text"].to_pylist()
@@ -145,22 +152,28 @@ def _block(items: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     sums = docs.select("text").mapInArrow(_counted(vocabulary), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     counts = {int(vocabulary[k]): n for k, n in zip(sums["k"].to_pylist(), sums["n"].to_pylist(), strict=True)}
     shared = spark.sparkContext.broadcast(Index(ids, texts, width, counts))
-    return docs.mapInArrow(_scan(shared), "id long, n_words long, hits array<int>, items array<long>")
+    kind = items.schema["id"].dataType
+    schema = schema_of(id=docs.schema["id"].dataType, n_words="long", hits="array<int>", items=T.ArrayType(kind))
+    return docs.mapInArrow(_scan(shared, to_arrow_type(kind)), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a document: id, n_words, n_hit (words inside occurring windows), n_items, items (ids of items that occur)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """One row a document: id, n_words, n_hit (words inside occurring windows), n_items, items (ids of items that occur), and with ``carry`` the whole row."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bench = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    bench = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    of_row = F.struct(F.col(id_col).alias("id"), *([whole_row(docs)] if carry else []))
+    source = docs.select(of_row.alias("id"), F.col(text_col).alias("text"))
     if blocks == 1:
         found = _block(bench, source, width)
     else:
-        parts = [_block(bench.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), source, width) for b in range(blocks)]
-        whole = parts[0]
-        for more in parts[1:]:
-            whole = whole.union(more)
-        found = whole.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select(F.col("id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+        # a number for each row, made once, is what the blocks' findings meet on; one block's index at a time
+        numbered = staged(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        texts, parts = numbered.select(F.col("row").alias("id"), "text"), []
+        for b in range(blocks):
+            parts.append(staged(_block(bench.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), texts, width).where((F.size("hits") > 0) | F.lit(b == 0)), "block"))
+        whole = functools.reduce(DataFrame.union, parts)
+        merged = whole.groupBy(F.col("id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = numbered.select("row", "id").join(merged, "row")
+    return found.select(F.col("id.id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", *(["id.row"] if carry else []))

@@ -2,8 +2,10 @@
 
 Defined results: a null text or one without words has an empty set and links with nothing; a text of fewer than
 ``width`` words has its whole sequence as its one shingle; rows with a null id come back unlinked, as their own
-group (component null, kept true); rows that share an id are one node. An empty table gives an empty result.
-Only the id and text columns are read, so other columns may have any names.
+group (component null, kept true); rows that share an id are one node. Of members equally central the smallest id
+leads. A very long text is a piece of its own, held whole. An empty table gives an empty result. Sets are of 64-bit
+hashes of shingles; equal sets are told by their size and two 64-bit sums over them. Only the id and text columns are
+read, so other columns may have any names; ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -12,13 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import M64, Words, mix, pieces, small_batches, staged, table_of
+from ._shared import M64, Words, mix, pieces, schema_of, small_batches, staged, table_of
 
 M = 128  # signature length
+SALTS = 64  # parts that a bucket's rows are dealt to
 ROWS = 4  # of a band: at similarity 0.75 the 32 bands miss a pair with probability 6e-6
 SIFT_BITS = 24  # log2 of the bits of the sieve for ids that meet anybody: 2 MB on the driver at any input size
 BLOCK = 256  # members of a block in the exhaustive comparison of what star links left open
+BLOCK_ITEMS = 1_000_000  # shingles that a block's members hold, as far as even lots go
 
 _WORDS = table_of()
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -172,10 +177,11 @@ def _verify(percent: int, kind: type):
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: sifted on half hashes, which miss none, then confirmed on full sets."""
+    ends = T.StructType([T.StructField(c, sets.schema["id"].dataType) for c in ("a", "b")])
     for column, kind in (("halves", np.uint32), ("items", np.uint64)):
         mine = sets.select(F.col("id").alias("b"), F.col(column).alias("y"))
         other = sets.select(F.col("id").alias("a"), F.col(column).alias("x"))
-        pairs = staged(pairs.join(mine, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent, kind), "a long, b long"), "links")
+        pairs = staged(pairs.join(mine, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent, kind), ends), "links")
     return pairs
 
 
@@ -183,10 +189,10 @@ def _block_pairs(percent: int):
     """Pairs of open members of a block and members of other groups that may be linked, by an inverted list over the block."""
 
     def each(left, right):
-        done = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        done = pa.schema([("a", left.schema.field("x_id").type), ("b", left.schema.field("x_id").type)])
         if not left.num_rows or not right.num_rows:
             return done.empty_table()
-        ids = [left["x_id"].to_numpy(), right["id"].to_numpy()]
+        ids = [left["x_id"].combine_chunks(), right["id"].combine_chunks()]
         comps = [left["x_comp"].to_numpy(), right["comp"].to_numpy()]
         sets = [[np.frombuffer(v.as_py(), np.uint32) for v in t] for t in (left["x_halves"], right["halves"])]
         sizes = np.array([len(s) for s in sets[0]])
@@ -201,9 +207,9 @@ def _block_pairs(percent: int):
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(sizes))
             hit = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (comps[0] != comps[1][k]))
-            got_a.append(ids[0][hit])
-            got_b.append(np.full(len(hit), ids[1][k]))
-        return pa.table({"a": np.concatenate(got_a).astype(np.int64), "b": np.concatenate(got_b).astype(np.int64)}, schema=done)
+            got_a.append(hit)
+            got_b.append(np.full(len(hit), k))
+        return pa.table({"a": ids[0].take(pa.array(np.concatenate(got_a))), "b": ids[1].take(pa.array(np.concatenate(got_b)))}, schema=done)
 
     return each
 
@@ -232,40 +238,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = staged(source.mapInArrow(_features(width), "id long, n long, f1 long, f2 long, bands array<long>"), "features")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType
+    features = staged(source.mapInArrow(_features(width), schema_of(id=kind, n="long", f1="long", f2="long", bands="array<long>")), "features")
     known = features.where("id is not null and n > 0")
     classes = staged(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    banded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("band"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"))
     # buckets of two or more; of those with the same members, one stands for all
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign")).where("members > 1")
-    buckets = buckets.groupBy("members", "sign").agg(F.min("band").alias("band"), F.count("*").alias("same"))
-    crowd = staged(banded.join(buckets.select("band", "members", "same"), "band"), "crowd")
+    parts = banded.groupBy("band", "salt").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
+    buckets = parts.groupBy("band").agg(F.sum("members").alias("members"), F.sum("sign").alias("sign"), F.collect_list("salt").alias("salts")).where("members > 1")
+    buckets = staged(buckets.groupBy("members", "sign").agg(F.min_by(F.struct("band", "salts"), "band").alias("b"), F.count("*").alias("same")).select("b.*", "members", "same"), "buckets")
+
+    def of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """Rows by band and salt with what is known of their band, which goes to each part of it that has rows."""
+        return rows.join(facts.join(buckets.select("band", F.explode("salts").alias("salt")), "band"), ["band", "salt"])
+
+    crowd = staged(of_bucket(banded, buckets.select("band", "members", "same")), "crowd")
     central = crowd.groupBy("id").agg(F.sum(F.col("members") * F.col("same")).alias("score"))
     ranked = crowd.join(central, "id")
-    leaders = ranked.groupBy("band").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("lead"))
-    stars = crowd.join(leaders, "band")
+    leaders = staged(ranked.groupBy("band").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("lead")), "leaders")
+    stars = of_bucket(crowd, leaders)
     pairs = stars.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     placed_rows = source.where("id is not null").select("id", "text", _place(F.col("id")).alias("at"))
-    sets = staged(placed_rows.mapInArrow(_sets(width, _sieve(crowd)), "id long, items binary, halves binary"), "sets")
+    sets = staged(placed_rows.mapInArrow(_sets(width, _sieve(crowd)), schema_of(id=kind, items="binary", halves="binary")), "sets")
     links = _linked(pairs, sets, percent)
     comps = components(links)
     # what is open: a bucket of three or more with members of several components
     placed = stars.where("members > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lead_comp = placed.where("id = lead").select("band", F.col("comp").alias("main"))
-    placed = staged(placed.join(lead_comp, "band").select("band", "id", "comp", "main"), "placed")
-    open_ = placed.groupBy("band").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("minor")).where("minor > 0")
+    placed = staged(of_bucket(placed, lead_comp).select("band", "salt", "id", "n", "comp", "main"), "placed")
+    other = F.col("comp") != F.col("main")
+    open_ = placed.groupBy("band").agg(F.count("*").alias("all"), F.count_if(other).alias("minor"), F.sum("n").alias("all_n"), F.sum(F.when(other, F.col("n"))).alias("minor_n")).where("minor > 0")
     # alone against the leader only: nothing is left to compare
-    open_ = open_.where("all > 2").select("band", F.ceil(F.col("all") / BLOCK).cast("int").alias("na"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("nm"))
-    spread = placed.join(open_, "band").join(sets.select(F.col("id").alias("sid"), "halves"), F.col("id") == F.col("sid")).drop("sid")
+    lots = lambda members, items: F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+    open_ = open_.where("all > 2").select("band", lots("all", "all_n").alias("na"), lots("minor", "minor_n").alias("nm"))
+    spread = of_bucket(placed, open_).join(sets.select(F.col("id").alias("sid"), "halves"), F.col("id") == F.col("sid")).drop("sid")
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     minor = spread.where("comp <> main").select("band", slot("nm").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "id", "comp", "halves").toDF("x_band", "x_i", "x_j", "x_id", "x_comp", "x_halves")
     every = spread.select("band", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("i"), slot("na").alias("j"), "id", "comp", "halves")
-    more = minor.groupBy("x_band", "x_i", "x_j").cogroup(every.groupBy("band", "i", "j")).applyInArrow(_block_pairs(percent), "a long, b long")
+    more = minor.groupBy("x_band", "x_i", "x_j").cogroup(every.groupBy("band", "i", "j")).applyInArrow(_block_pairs(percent), schema_of(a=kind, b=kind))
     more = _linked(staged(more.distinct(), "more"), sets, percent)
     if not more.isEmpty():
         comps = components(links.union(more))
     of_class = classes.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component"))
-    out = features.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    out = features.where("n > 0").select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    # empty sets are one key and meet nobody: they stay where they are
+    out = out.select("id", "n", "component").union(features.where("n = 0").select("id", "n", F.lit(None).cast(kind)))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -8,8 +8,10 @@ The histogram has at most ``bins`` lengths: exact up to the point where it would
 above (padding is then optimal to within a step). Numbers inside a bucket are exact and gapless: each row is numbered
 within its (bucket, shard) and shards' starts come from their counts, so no bucket lies in one task.
 
-Defined results: a null or blank text is its end alone, one token; repeated rows are separate pieces; an empty table
-packs nothing. Only the id and the text are read.
+Defined results: a null or blank text is its end alone, one token; repeated rows are separate pieces, and which of two
+equal ones comes first makes no difference; rows of one id or without one are numbered by their texts' hashes; a very long
+text is as many pieces as it needs; an empty table packs nothing. Only the id and the text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -62,11 +64,12 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[l
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, token_budget: int = TOKEN_BUDGET, buckets: int = BUCKETS, bins: int = BINS, shards: int = SHARDS) -> DataFrame:
-    """One row a piece: id, piece (from 0), n_tokens, bucket (padded length), batch (within the bucket), slot (within the batch), padding."""
-    sized = docs.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).alias("n"))
+    """One row a piece: id, piece (from 0), first_token (in its text), n_tokens, bucket (padded length), batch (within the bucket), slot (within the batch), padding."""
+    # the text's hash spreads rows that share an id, or have none, over the shards
+    sized = docs.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).alias("n"), F.xxhash64(text_col).alias("h"))
     last = F.ceil(F.col("n") / max_tokens).cast("int") - 1
-    cut = sized.select("id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = staged(cut.select("id", "piece", F.least(F.lit(max_tokens), F.col("n") - F.col("piece") * max_tokens).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int").alias("shard")), "pieces")
+    cut = sized.select("id", "n", "h", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = staged(cut.select("id", "h", "piece", F.least(F.lit(max_tokens), F.col("n") - F.col("piece") * max_tokens).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)).cast("int").alias("shard")), "pieces")
     step = max(1, -(-max_tokens // bins))
     bound = F.least(F.lit(max_tokens), F.ceil(F.col("n_tokens") / step) * step).cast("long")
     histogram = {r["l"]: r["n"] for r in pieces.groupBy(bound.alias("l")).agg(F.count("*").alias("n")).collect()}
@@ -77,7 +80,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     # a start for each shard of each bucket: at most buckets * shards rows
     counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("c"))
     starts = counts.select("bucket", "shard", (F.sum("c").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("c")).alias("start"))
-    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "piece", "n_tokens"))
+    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "piece", "n_tokens", "h"))
     numbered = placed.withColumn("k", number).join(F.broadcast(starts), ["bucket", "shard"]).withColumn("k", F.col("start") + F.col("k") - 1)
     size = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket")))
-    return numbered.select(F.col("id").alias(id_col), "piece", "n_tokens", "bucket", F.floor(F.col("k") / size).cast("long").alias("batch"), F.pmod("k", size).cast("long").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
+    return numbered.select(F.col("id").alias(id_col), "piece", (F.col("piece").cast("long") * max_tokens).alias("first_token"), "n_tokens", "bucket", F.floor(F.col("k") / size).cast("long").alias("batch"), F.pmod("k", size).cast("long").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
