@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import in_network  # noqa: F401  of either family, as an expression
+
 PROBES = 6
 
 
@@ -63,21 +63,3 @@ def separator(a: bytes, b: bytes) -> bytes:
         if a[k] != 0xFF:
             return a[:k] + bytes([a[k] + 1]) if k + 1 < len(a) else a
     return a
-
-
-def in_network(text: Column, network: str) -> Column:
-    """Whether an address of either family lies in a block; a text that is no address doesn't."""
-    block = ipaddress.ip_network(network, strict=False)
-
-    @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        def inside(t) -> bool:
-            try:
-                address = ipaddress.ip_address(t)
-            except ValueError:
-                return False
-            return address.version == block.version and address in block
-
-        return texts.map(inside)
-
-    return of(text)

@@ -66,3 +66,75 @@ def bucket_name_valid(name: Column) -> Column:
     shape = F.length(name).between(3, 63) & name.rlike(rf"^{label}(\.{label})*$")
     reserved = name.rlike(r"^(xn--|sthree-|amzn-s3-demo-)") | name.rlike(r"(-s3alias|--ol-s3|\.mrap|--x-s3|--table-s3)$")
     return shape & ~name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~reserved
+
+
+def scaled(value: Column, units: list[str], step: float = 1000.0, joined: str = " ") -> Column:
+    """A quantity in the largest unit that leaves it at 1 or more, to three figures; whole in the first unit."""
+    figures = lambda v, n: F.format_string(f"%.{n}f", F.bround(v, n))
+    text = lambda v: F.when(v >= 100, figures(v, 0)).when(v >= 10, figures(v, 1)).otherwise(figures(v, 2))
+    out = F.concat(figures(value.cast("double"), 0), F.lit((joined if units[0] else "") + units[0]))
+    for k, unit in enumerate(units[1:], 1):
+        out = F.when(value >= step**k, F.concat(text(value / step**k), F.lit(joined + unit))).otherwise(out)
+    return out
+
+
+def count_text(value: Column) -> Column:
+    return scaled(value, ["", "K", "M", "G"], joined="")
+
+
+def rate_text(per_second: Column) -> Column:
+    return F.concat(scaled(per_second, ["B", "kB", "MB", "GB", "TB"]), F.lit("/s"))
+
+
+def client_id(name: Column) -> Column:
+    """The id that a client's name gives in its one spelling (a decimal, as it may take 64 bits), or null."""
+    digits = F.regexp_extract(name, r"^client-([1-9]\d{0,19})$", 1).try_cast("decimal(20,0)")
+    return F.when(digits < F.lit(str(1 << 64)).cast("decimal(20,0)"), digits)
+
+
+def header_id(text: Column) -> Column:
+    """A rule's id as a header carries it: as it is if it is printable ASCII without quotes, backslashes or outer spaces, else percent-encoded whole."""
+    plain = text.rlike(r'^[ !#-\[\]-~]*$') & ~text.startswith(" ") & ~text.endswith(" ")
+    return F.when(plain, text).otherwise(percent_encode(text, slash=True))
+
+
+SEGMENT, TAG = 64 * 1024, 16
+
+
+def sealed_size(plain: Column) -> Column:
+    """Bytes of a file sealed in segments with a tag each; an empty file has one segment."""
+    return plain + TAG * F.greatest(F.ceil(plain / SEGMENT), F.lit(1))
+
+
+def plain_size(sealed: Column) -> Column:
+    """The bytes that a sealed file holds, or null where none seals to that size."""
+    full, rest = F.floor(sealed / (SEGMENT + TAG)), sealed % (SEGMENT + TAG)
+    held = F.when((rest == 0) & (full > 0), full * SEGMENT).when(rest >= TAG, full * SEGMENT + rest - TAG)
+    return F.when(sealed_size(held) == sealed, held)
+
+
+LEAST_PART, MOST_PART, MOST_PARTS = 5 << 20, 5 << 30, 10_000
+
+
+def run_size(size: Column, buffer: Column, block: Column) -> Column:
+    """The bytes of each run of an upload: the fewest whole units (blocks, or segments where a block is none) within the part sizes with which 10,000 runs hold the object; as much as the buffer takes where no size is stated; null where nothing fits."""
+    held = F.floor(F.least(F.coalesce(buffer, F.lit(MOST_PART).cast("long")), F.lit(MOST_PART).cast("long")) / SEGMENT) * SEGMENT
+    unit = F.when((block >= SEGMENT) & (block % SEGMENT == 0) & (block <= held), block).otherwise(F.lit(SEGMENT).cast("long"))
+    most, least = F.floor(held / unit) * unit, F.ceil(F.lit(LEAST_PART) / unit) * unit
+    run = F.when(size.isNull(), most).otherwise(F.greatest(F.ceil(F.ceil(size / MOST_PARTS) / unit) * unit, least))
+    return F.when((run >= least) & (run <= most), run)
+
+
+def in_range(hash_: Column, size: int) -> Column:
+    """A 64-bit hash (unsigned, as a decimal) scaled into 0 up to size, by its high bits rather than a remainder."""
+    return F.floor(hash_ * F.lit(size).cast("decimal(10,0)") / F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("long")
+
+
+def separator(a: Column, b: Column) -> Column:
+    """The shortest ASCII key at least a and below b, where a < b; a itself where none is shorter."""
+    n, least = shared_prefix(a, b), F.least(F.length(a), F.length(b))
+    at = lambda x, i: F.ascii(F.substr(x, i, F.lit(1)))
+    cut = lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.char(at(a, i) + 1))
+    later = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: (i > n + 1) & (at(a, i) < 127))
+    follow = F.get(later, 0)
+    return F.when(n >= least, a).when(at(a, n + 1) + 1 < at(b, n + 1), cut(n + 1)).when(follow.isNotNull() & (follow < F.length(a)), cut(follow)).otherwise(a)

@@ -64,18 +64,92 @@ def parse_amz_date(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss'Z'")))
 
 
+def parse_iso(text: Column) -> Column:
+    """(seconds, nanos) of an XML dateTime with its zone, or null: without a zone, beyond nanoseconds, or with a zone past 14 hours it names no instant."""
+    pattern = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d{1,9})0*)?(Z|[+-]\d{2}:\d{2})$"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    local = F.unix_seconds(F.try_to_timestamp(F.concat_ws(" ", part(1), part(2)), F.lit("yyyy-MM-dd HH:mm:ss")))
+    zone = part(4)
+    minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
+    within = F.coalesce((F.substr(zone, F.lit(5), F.lit(2)).try_cast("int") < 60) & (minutes <= 14 * 60), F.lit(False))
+    east = F.when(zone == "Z", F.lit(0)).when(within, F.when(zone.startswith("-"), -minutes).otherwise(minutes))
+    nanos = F.coalesce(F.rpad(F.nullif(part(3), F.lit("")), 9, "0").try_cast("int"), F.lit(0))
+    return F.when(text.rlike(pattern) & local.isNotNull() & east.isNotNull(), F.struct((local - 60 * east).alias("seconds"), nanos.alias("nanos")))
+
+
+def max_keys(text: Column, most: int = 1000) -> Column:
+    """(asked, limit) of a page's size: absent is the most; no more than that is served; what is no whole number is null."""
+    asked = F.when(text.isNull(), F.lit(most)).when(F.trim(text).rlike(r"^\+?\d{1,18}$"), F.ltrim(F.trim(text), F.lit("+")).try_cast("long")).cast("long")
+    return F.struct(asked.alias("asked"), F.least(asked, F.lit(most)).alias("limit"))
+
+
 def parse_http_date(text: Column) -> Column:
     """Seconds of an HTTP date in its preferred form, or null; the weekday isn't checked."""
     return F.unix_seconds(F.try_to_timestamp(F.regexp_extract(text, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")))
 
 
-def operation(method: Column, has_key: Column, flags: Column) -> Column:
-    """The operation that a request names by method, whether it has a key, and its query names."""
+#: What each method names on a subresource of a bucket, in the order they are looked for.
+BUCKET_ROUTES = {
+    "location": {"GET": "GetBucketLocation"},
+    "versioning": {"GET": "GetBucketVersioning", "PUT": "PutBucketVersioning"},
+    "tagging": {"GET": "GetBucketTagging", "PUT": "PutBucketTagging", "DELETE": "DeleteBucketTagging"},
+    "acl": {"GET": "GetBucketAcl", "PUT": "PutBucketAcl"},
+    "ownershipControls": {"GET": "GetBucketOwnershipControls", "PUT": "PutBucketOwnershipControls", "DELETE": "DeleteBucketOwnershipControls"},
+    "lifecycle": {"GET": "GetBucketLifecycleConfiguration", "PUT": "PutBucketLifecycleConfiguration", "DELETE": "DeleteBucketLifecycle"},
+    "cors": {"GET": "GetBucketCors", "PUT": "PutBucketCors", "DELETE": "DeleteBucketCors"},
+    "policy": {"GET": "GetBucketPolicy", "PUT": "PutBucketPolicy", "DELETE": "DeleteBucketPolicy"},
+    "policyStatus": {"GET": "GetBucketPolicyStatus"},
+    "object-lock": {"GET": "GetObjectLockConfiguration", "PUT": "PutObjectLockConfiguration"},
+    "publicAccessBlock": {"GET": "GetPublicAccessBlock", "PUT": "PutPublicAccessBlock", "DELETE": "DeletePublicAccessBlock"},
+    "encryption": {"GET": "GetBucketEncryption", "PUT": "PutBucketEncryption", "DELETE": "DeleteBucketEncryption"},
+    "versions": {"GET": "ListObjectVersions"},
+    "uploads": {"GET": "ListMultipartUploads"},
+    "delete": {"POST": "DeleteObjects"},
+}
+#: The same of an object.
+OBJECT_ROUTES = {
+    "tagging": {"GET": "GetObjectTagging", "PUT": "PutObjectTagging", "DELETE": "DeleteObjectTagging"},
+    "acl": {"GET": "GetObjectAcl", "PUT": "PutObjectAcl"},
+    "retention": {"GET": "GetObjectRetention", "PUT": "PutObjectRetention"},
+    "legal-hold": {"GET": "GetObjectLegalHold", "PUT": "PutObjectLegalHold"},
+    "attributes": {"GET": "GetObjectAttributes"},
+    "uploads": {"POST": "CreateMultipartUpload"},
+    "uploadId": {"GET": "ListParts", "PUT": "UploadPart", "POST": "CompleteMultipartUpload", "DELETE": "AbortMultipartUpload"},
+}
+#: Methods without a subresource, and subresources that are not served.
+BUCKET_METHODS = {"GET": "ListObjects", "PUT": "CreateBucket", "DELETE": "DeleteBucket", "HEAD": "HeadBucket", "POST": "PostObject"}
+OBJECT_METHODS = {"PUT": "PutObject", "GET": "GetObject", "HEAD": "HeadObject", "DELETE": "DeleteObject"}
+NOT_SERVED = ["accelerate", "analytics", "intelligent-tiering", "inventory", "logging", "metrics", "notification", "replication", "requestPayment", "website", "restore"]
+REFUSED, MISSING = "MethodNotAllowed", "NotImplemented"
+
+
+def operation(method: Column, has_key: Column, flags: Column, has_bucket: Column | None = None, copies: Column | None = None, list_type: Column | None = None) -> Column:
+    """The operation that a request names by its method, its target and the names in its query, or the fault it is answered with.
+
+    A subresource decides before the method alone does; one that belongs to the other kind of target refuses the request.
+    """
     has = lambda name: F.array_contains(flags, name)
-    of_key = F.when(method == "GET", F.when(has("uploadId"), "ListParts").when(has("acl"), "GetObjectAcl").when(has("tagging"), "GetObjectTagging").otherwise("GetObject"))
-    of_key = of_key.when(method == "PUT", F.when(has("partNumber") & has("uploadId"), "UploadPart").when(has("tagging"), "PutObjectTagging").otherwise("PutObject"))
-    of_key = of_key.when(method == "POST", F.when(has("uploads"), "CreateMultipartUpload").when(has("uploadId"), "CompleteMultipartUpload"))
-    of_key = of_key.when(method == "DELETE", F.when(has("uploadId"), "AbortMultipartUpload").when(has("tagging"), "DeleteObjectTagging").otherwise("DeleteObject")).when(method == "HEAD", "HeadObject")
-    of_bucket = F.when(method == "GET", F.when(has("versions"), "ListObjectVersions").when(has("uploads"), "ListMultipartUploads").when(has("list-type"), "ListObjectsV2").when(has("location"), "GetBucketLocation").otherwise("ListObjects"))
-    of_bucket = of_bucket.when(method == "PUT", F.when(has("lifecycle"), "PutBucketLifecycleConfiguration").when(has("cors"), "PutBucketCors").otherwise("CreateBucket")).when(method == "DELETE", "DeleteBucket").when(method == "HEAD", "HeadBucket").when(method == "POST", F.when(has("delete"), "DeleteObjects"))
-    return F.when(has_key, of_key).otherwise(of_bucket)
+    copies = F.lit(False) if copies is None else F.coalesce(copies, F.lit(False))
+    listed = has("list-type") if list_type is None else F.coalesce(list_type == "2", F.lit(False))
+
+    def of(table: dict[str, str], otherwise: str = REFUSED) -> Column:
+        found = F.lit(otherwise)
+        for m, name in table.items():
+            found = F.when(method == m, name).otherwise(found)
+        return found
+
+    def target(own: dict, other: dict, plain: Column) -> Column:
+        strays = F.arrays_overlap(flags, F.array(*[F.lit(x) for x in other if x not in own]))
+        named = F.coalesce(*[F.when(has(name), of(methods)) for name, methods in own.items()])
+        return F.coalesce(named, F.when(strays, REFUSED), plain)
+
+    of_bucket = target(BUCKET_ROUTES, OBJECT_ROUTES, F.when((method == "GET") & listed, "ListObjectsV2").otherwise(of(BUCKET_METHODS)))
+    of_key = target(OBJECT_ROUTES, BUCKET_ROUTES, F.when((method == "PUT") & copies, "CopyObject").otherwise(of(OBJECT_METHODS)))
+    of_key = F.when(has("encryption"), MISSING).when((of_key == "UploadPart") & ~has("partNumber"), REFUSED).when((of_key == "UploadPart") & copies, "UploadPartCopy").otherwise(of_key)
+    anywhere = F.when(has_key, of_key).otherwise(of_bucket)
+    if has_bucket is not None:
+        anywhere = F.when(has_bucket | has_key, anywhere).when(method == "GET", "ListBuckets").otherwise(REFUSED)
+        preflight = F.when(has_bucket | has_key, "Preflight").otherwise(REFUSED)
+    else:
+        preflight = F.lit("Preflight")
+    return F.when(method == "OPTIONS", preflight).when(F.arrays_overlap(flags, F.array(*map(F.lit, NOT_SERVED))), MISSING).otherwise(anywhere)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,71 @@ def in_cidr(text: Column, base: Column, bits: int) -> Column:
     return F.coalesce(F.shiftright(ipv4(text), shift) == F.shiftright(ipv4(base), shift), F.lit(False))
 
 
+#: The negated condition operators and what each negates.
+OPPOSITES = {
+    "StringNotEquals": "StringEquals",
+    "StringNotEqualsIgnoreCase": "StringEqualsIgnoreCase",
+    "StringNotLike": "StringLike",
+    "NumericNotEquals": "NumericEquals",
+    "DateNotEquals": "DateEquals",
+    "NotIpAddress": "IpAddress",
+    "ArnNotEquals": "ArnEquals",
+    "ArnNotLike": "ArnLike",
+}
+
+
+def groups6(text: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address, or null; :: stands for as many zeros as are missing."""
+    halves = F.split(F.lower(text), "::", -1)
+    of = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+    head, tail = of(F.get(halves, 0)), F.coalesce(of(F.get(halves, 1)), F.array().cast("array<string>"))
+    gap = 8 - F.size(head) - F.size(tail)
+    shape = F.lower(text).rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & (F.length(text) > 1)
+    filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), tail)
+    fits = shape & F.when(F.size(halves) == 2, gap > 0).otherwise(gap == 0)
+    return F.when(fits, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def in_network(text: Column, network: str) -> Column:
+    """Whether an address of either family lies in a block; a text that is no address of the block's family doesn't."""
+    block = ipaddress.ip_network(network, strict=False)
+    if block.version == 4:
+        return in_cidr(text, F.lit(str(block.network_address)), block.prefixlen) if block.prefixlen else ipv4(text).isNotNull()
+    base = [int.from_bytes(block.network_address.packed[2 * k : 2 * k + 2]) for k in range(8)]
+    groups, met = groups6(text), F.lit(True)
+    for k in range(-(-block.prefixlen // 16)):
+        shift = max(0, 16 * (k + 1) - block.prefixlen)
+        met = met & (F.shiftright(F.get(groups, k), shift) == base[k] >> shift)
+    return F.coalesce(groups.isNotNull() & met, F.lit(False))
+
+
+def cors_fault(rules: Column) -> Column:
+    """The first fault of a CORS document's rules, or null: an array of (id, origins, methods, headers, age), at most 100 of them."""
+    stars = lambda c: F.exists(c, lambda x: F.length(x) - F.length(F.replace(x, F.lit("*"), F.lit(""))) > 1)
+    ids = F.transform(rules, lambda r: r["id"])
+    twice = lambda r, i: r["id"].isNotNull() & F.array_contains(F.slice(ids, 1, i), r["id"])
+
+    def fault(r: Column, i: Column) -> Column:
+        return (
+            F.when(F.length(r["id"]) > 255, "IdTooLong")
+            .when(F.coalesce(twice(r, i), F.lit(False)), "DuplicateId")
+            .when(F.size(r["origins"]) == 0, "NoOrigin")
+            .when(F.size(r["methods"]) == 0, "NoMethod")
+            .when(F.exists(r["methods"], lambda m: ~m.isin("GET", "PUT", "POST", "DELETE", "HEAD")), "Method")
+            .when(stars(r["origins"]), "OriginWildcards")
+            .when(stars(r["headers"]), "HeaderWildcards")
+            .when(r["age"] < 0, "MaxAge")
+        )
+
+    found = F.get(F.filter(F.transform(rules, fault), lambda x: x.isNotNull()), 0)
+    return F.when(F.size(rules) == 0, "NoRules").when(F.size(rules) > 100, "TooManyRules").otherwise(found)
+
+
+def preflight(origin: Column, enabled: Column, method: Column, rule: Column) -> Column:
+    """How a preflight is answered: allowed, or the first of what it lacks."""
+    return F.when(origin.isNull(), "NoOrigin").when(~enabled, "NotEnabled").when(method.isNull(), "NoMethod").when(rule.isNull(), "NotAllowed").otherwise("Allowed")
+
+
 def condition(kind: str, values: Column, written: list[str], negated: bool = False, if_exists: bool = False, quantifier: str | None = None) -> Column:
     """A policy condition over a key's values (null when the request has none).
 
@@ -72,13 +138,20 @@ def condition(kind: str, values: Column, written: list[str], negated: bool = Fal
         "NumericLessThanEquals": lambda v, w: v.try_cast("double") <= float(w),
         "NumericGreaterThan": lambda v, w: v.try_cast("double") > float(w),
         "NumericGreaterThanEquals": lambda v, w: v.try_cast("double") >= float(w),
+        "DateEquals": lambda v, w: v.try_cast("timestamp") == F.lit(w).cast("timestamp"),
+        "DateLessThanEquals": lambda v, w: v.try_cast("timestamp") <= F.lit(w).cast("timestamp"),
+        "DateGreaterThanEquals": lambda v, w: v.try_cast("timestamp") >= F.lit(w).cast("timestamp"),
         "DateLessThan": lambda v, w: v.try_cast("timestamp") < F.lit(w).cast("timestamp"),
         "DateGreaterThan": lambda v, w: v.try_cast("timestamp") > F.lit(w).cast("timestamp"),
         "Bool": lambda v, w: F.lower(v) == w.lower(),
-        "BinaryEquals": lambda v, w: v == w,
-        "IpAddress": lambda v, w: in_cidr(v, F.lit(w.partition("/")[0]), int(w.partition("/")[2] or 32)),
+        "BinaryEquals": lambda v, w: F.encode(v, "UTF-8") == F.try_to_binary(F.lit(w), F.lit("base64")),
+        "IpAddress": lambda v, w: in_network(v, w),
         "ArnLike": lambda v, w: arn_like(v, w),
     }
+    tests["ArnEquals"] = tests["ArnLike"]  # the two are judged alike
+    for opposite, positive in OPPOSITES.items():
+        if kind == opposite:
+            kind, negated = positive, True
     if kind == "Null":
         return values.isNull() == F.lit(written[0].lower() == "true")
     test = tests[kind]

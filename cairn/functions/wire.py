@@ -7,7 +7,6 @@ import hashlib
 import hmac
 import json
 import xml.etree.ElementTree as ET
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,17 +109,92 @@ def document_rows(docs: DataFrame, body: str, parse, fields: list[str]) -> DataF
 
 def listing_document(bucket: str, entries: Column, truncated: Column) -> Column:
     """A ListBucketResult of an array of (name, is_prefix, size)."""
+    return listing_text(F.lit(bucket), entries, truncated)
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def listing_text(bucket: Column, entries: Column, truncated: Column) -> Column:
+    """The same from expressions alone, of any bucket."""
+    of = lambda which, one: F.array_join(F.transform(F.filter(entries, which), one), "")
+    contents = of(lambda e: ~e["is_prefix"], lambda e: F.concat(F.lit("<Contents><Key>"), escaped(e["name"]), F.lit("</Key><Size>"), e["size"].cast("string"), F.lit("</Size></Contents>")))
+    prefixes = of(lambda e: e["is_prefix"], lambda e: F.concat(F.lit("<CommonPrefixes><Prefix>"), escaped(e["name"]), F.lit("</Prefix></CommonPrefixes>")))
+    head = F.concat(F.lit("<ListBucketResult><Name>"), escaped(bucket), F.lit("</Name><KeyCount>"), F.size(entries).cast("string"), F.lit("</KeyCount><IsTruncated>"), truncated.cast("string"), F.lit("</IsTruncated>"))
+    return F.concat(head, contents, prefixes, F.lit("</ListBucketResult>"))
+
+
+#: Most tags of an object, and the longest name and value.
+MOST_TAGS, TAG_NAME, TAG_VALUE = 10, 128, 256
+
+
+def tags(header: Column) -> Column:
+    """(fault, tags) of a header of name=value pairs, each side encoded as a form does; a name alone has an empty value."""
+    pairs = F.transform(F.filter(F.split(header, "&"), lambda p: p != ""), lambda p: F.split(p, "="))
+    decode = lambda x: F.try_url_decode(x)
+    read = F.transform(pairs, lambda p: F.struct(decode(F.get(p, 0)).alias("name"), F.coalesce(decode(F.get(p, 1)), F.lit("")).alias("value")))
+    names = F.transform(read, lambda t: t["name"])
+    form = F.exists(pairs, lambda p: F.size(p) > 2) | F.exists(read, lambda t: t["name"].isNull()) | (F.size(F.array_distinct(names)) < F.size(names))
+    name = F.exists(read, lambda t: (F.length(t["name"]) == 0) | (F.length(t["name"]) > TAG_NAME))
+    value = F.exists(read, lambda t: F.length(t["value"]) > TAG_VALUE)
+    fault = F.when(F.size(pairs) > MOST_TAGS, "TooMany").when(form, "Header").when(name, "InvalidTagKey").when(value, "InvalidTagValue")
+    return F.struct(fault.alias("fault"), F.when(fault.isNull(), read).alias("tags"))
+
+
+def json_compact(body: Column) -> Column:
+    """A document without white space, members and numbers as they were written; null if it is malformed."""
 
     @F.pandas_udf("string")
-    def of(lists: pd.Series, cut: pd.Series) -> pd.Series:
-        def one(rows, more) -> str:
-            keys = "".join(f"<Contents><Key>{escape(r['name'])}</Key><Size>{r['size']}</Size></Contents>" for r in rows if not r["is_prefix"])
-            prefixes = "".join(f"<CommonPrefixes><Prefix>{escape(r['name'])}</Prefix></CommonPrefixes>" for r in rows if r["is_prefix"])
-            return f"<ListBucketResult><Name>{escape(bucket)}</Name><KeyCount>{len(rows)}</KeyCount><IsTruncated>{str(bool(more)).lower()}</IsTruncated>{keys}{prefixes}</ListBucketResult>"
+    def of(texts: pd.Series) -> pd.Series:
+        def one(t) -> str | None:
+            try:
+                return _compact(json.loads(t, object_pairs_hook=_Members, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant))
+            except (TypeError, ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return of(body)
+
+
+class _Number(str):
+    """A number as written."""
+
+    __slots__ = ()
 
-        return pd.Series([one(r, m) for r, m in zip(lists, cut, strict=True)])
 
-    return of(entries, truncated)
+class _Members(list):
+    """An object's members in their order."""
+
+    __slots__ = ()
+
+
+def _compact(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, _Members):
+        _unique(value)
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_compact(v)}" for k, v in value) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_compact, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def grants(text: str) -> list[dict[str, str | None]]:
+    """Grants of an access control document: the owner, the grantee's kind and name, the permission."""
+    xml_rows(text, "AccessControlPolicy", "", [])
+    top = ET.fromstring(text)
+    owner = next((_fields(x).get("ID") for x in top if _name(x) == "Owner"), None)
+    out = []
+    for grant in (g for x in top if _name(x) == "AccessControlList" for g in x if _name(g) == "Grant"):
+        who = next((_fields(x) for x in grant if _name(x) == "Grantee"), {})
+        kind = next((k for k in ("ID", "URI", "EmailAddress") if who.get(k)), None)
+        permission = _fields(grant).get("Permission")
+        if kind is None or permission not in ("FULL_CONTROL", "READ", "WRITE", "READ_ACP", "WRITE_ACP"):
+            raise ValueError("a grant without grantee or permission")
+        out.append({"owner": owner, "kind": {"ID": "id", "URI": "uri", "EmailAddress": "email"}[kind], "grantee": who[kind], "permission": permission})
+    return out
 
 
 def policy_statements(text: str) -> list[dict]:
@@ -158,6 +232,62 @@ def may_set(statements: list[dict], block_public: bool) -> bool:
     return not (block_public and is_public(statements))
 
 
+POLICY = "allow boolean, actions string, principals string, resources string, conditions string, public boolean, may_set boolean"
+
+
+def policy_rows(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """One row a statement of each policy document: its parts, whether the policy is public, and whether it may be set where public ones are blocked; a malformed one is a row of nulls."""
+
+    def one(document: str) -> list[tuple]:
+        try:
+            statements = policy_statements(document)
+        except (TypeError, ValueError, AttributeError):
+            return [(None,) * 7]
+        public, may = is_public(statements), may_set(statements, True)
+        bound = lambda s: ";".join(f"{c['operator']} {c['key']} {','.join(c['values'])}" for c in s["conditions"])
+        return [(s["allow"], ",".join(s["action"]), ",".join(s["principal"]), ",".join(s["resource"]), bound(s), public, may) for s in statements]
+
+    def each(batches):
+        for pdf in batches:
+            rows = [(k, *row) for k, document in zip(pdf[key], pdf[body], strict=True) for row in one(document)]
+            yield pd.DataFrame(rows, columns=[key, *(f.split(" ")[0] for f in POLICY.split(", "))])
+
+    return docs.select(key, body).mapInPandas(each, f"{key} {docs.schema[key].dataType.simpleString()}, {POLICY}")
+
+
+def _pieces(written: Column) -> Column:
+    """What a written value is made of, in order: text, and variables with their braces."""
+    return F.regexp_extract_all(written, F.lit(r"(?s)\$\{[^}]*\}|(?:(?!\$\{[^}]*\}).)+"), 0)
+
+
+def _value(piece: Column, context: Column) -> Column:
+    """A variable's text: itself for the signs, else the request's, else its default, else null."""
+    inside = F.substr(piece, F.lit(3), F.length(piece) - 3)
+    name = F.lower(F.trim(F.substring_index(inside, ",", 1)))
+    default = F.regexp_extract(inside, r"(?s)^[^,]*, *'(.*)'$", 1)
+    has_default = inside.rlike(r"(?s)^[^,]*, *'.*'$")
+    return F.when(inside.isin("*", "?", "$"), inside).otherwise(F.coalesce(F.try_element_at(context, name), F.when(has_default, default)))
+
+
+def _is_variable(piece: Column) -> Column:
+    return piece.startswith("${") & piece.endswith("}")
+
+
+def filled(written: Column, context: Column) -> Column:
+    """A policy's text with its variables filled in from a map of lower-cased keys, or null where one has no value."""
+    parts = F.transform(_pieces(written), lambda p: F.when(_is_variable(p), _value(p, context)).otherwise(p))
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+
+
+def filled_matches(written: Column, context: Column, text: Column) -> Column:
+    """Whether a text matches the written pattern: * and ? count as written, but not where a variable brings them."""
+    quoted = lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    wild = lambda p: F.replace(F.replace(quoted(p), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("?"), F.lit("\\E.\\Q"))
+    parts = F.transform(_pieces(written), lambda p: F.when(_is_variable(p), quoted(_value(p, context))).otherwise(wild(p)))
+    pattern = F.when(~F.exists(parts, lambda p: p.isNull()), F.concat(F.lit("(?s)^"), F.array_join(parts, ""), F.lit("$")))
+    return F.coalesce(F.regexp_like(text, pattern), F.lit(False))
+
+
 def substitute(pattern: str, context: dict[str, str]) -> str | None:
     """A policy string with its variables filled in: ${key}, ${key, 'default'}, and ${*} ${?} ${$} for themselves; None if a key is missing."""
     out, rest = [], pattern
@@ -230,6 +360,41 @@ def chunked_body(data: bytes) -> tuple[bytes, dict[str, str]]:
     return b"".join(out), trailers
 
 
+def form_file(body: Column, boundary: Column) -> Column:
+    """(key, file) of form uploads; null for a malformed one."""
+
+    @F.pandas_udf("key string, file binary")
+    def of(bodies: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        def one(b, m):
+            try:
+                parts = form_fields(bytes(b), m.encode())
+            except ValueError:
+                return None, None
+            named = {name: content for name, _, content in parts}
+            return named.get("key", b"").decode(), named.get("file")
+
+        return pd.DataFrame([one(b, m) for b, m in zip(bodies, marks, strict=True)], columns=["key", "file"])
+
+    return of(body, boundary)
+
+
+def chunked_content(body: Column) -> Column:
+    """(content, trailer) of chunked bodies, the trailer being the first by name; null for a malformed one."""
+
+    @F.pandas_udf("content binary, trailer string")
+    def of(bodies: pd.Series) -> pd.DataFrame:
+        def one(b):
+            try:
+                content, trailers = chunked_body(bytes(b))
+            except ValueError:
+                return None, None
+            return content, trailers[min(trailers)] if trailers else None
+
+        return pd.DataFrame([one(b) for b in bodies], columns=["content", "trailer"])
+
+    return of(body)
+
+
 def hmac_sha256(key: bytes, data: bytes) -> bytes:
     return hmac.new(key, data, hashlib.sha256).digest()
 
@@ -256,5 +421,47 @@ def signatures_hold(requests: DataFrame, secrets: dict[str, str]) -> DataFrame:
     return requests.withColumn("holds", of("access_key", "date", "region", "to_sign", "signature"))
 
 
+SKEW = 900  # seconds that a request's date may be off
+
+
+def canonical(method: Column, path: Column, query: Column, headers: Column, payload: Column) -> Column:
+    """The canonical request: its query by name, its headers as lines of lower-cased names in order, and the names signed."""
+    sorted_query = F.array_join(F.array_sort(F.split(query, "&")), "&")
+    lines = F.array_sort(F.split(headers, "\n"))
+    names = F.array_join(F.transform(lines, lambda h: F.substring_index(h, ":", 1)), ";")
+    return F.concat_ws("\n", method, path, sorted_query, F.concat(F.array_join(lines, "\n"), F.lit("\n")), names, payload)
+
+
+def to_sign(request: Column, at: Column, region: Column) -> Column:
+    """The text that is signed: the date, the scope and the canonical request's digest."""
+    stamp = F.date_format(F.timestamp_seconds(at), "yyyyMMdd'T'HHmmss'Z'")
+    scope = F.concat(F.substr(stamp, F.lit(1), F.lit(8)), F.lit("/"), region, F.lit("/s3/aws4_request"))
+    return F.concat_ws("\n", F.lit("AWS4-HMAC-SHA256"), stamp, scope, F.sha2(request, 256))
+
+
+def _of_request(requests: DataFrame, region: Column) -> DataFrame:
+    asked = canonical(F.lit("GET"), F.col("path"), F.col("query"), F.col("headers"), F.col("payload"))
+    return requests.withColumns({"to_sign": to_sign(asked, F.col("at"), region), "date": F.date_format(F.timestamp_seconds("at"), "yyyyMMdd")})
+
+
+def signed(requests: DataFrame, access_key: str, secret: str, region: str) -> DataFrame:
+    """requests (at, path, query, headers, payload) with the signature that a client makes."""
+
+    @F.pandas_udf("string")
+    def of(dates: pd.Series, texts: pd.Series) -> pd.Series:
+        chain = {d: signing_key(secret, d, region) for d in dates.unique()}
+        return pd.Series([hmac_sha256(chain[d], t.encode()).hex() for d, t in zip(dates, texts, strict=True)])
+
+    return _of_request(requests, F.lit(region)).withColumn("signature", of("date", "to_sign")).drop("to_sign", "date")
+
+
+def verified(requests: DataFrame, secrets: dict[str, str], region: str) -> DataFrame:
+    """requests (at, path, query, headers, payload, access_key, region, signature, now) with a verdict: Scope for another
+    region, Expired where the date is too far off, UnknownKey, Mismatch, or Holds."""
+    judged = signatures_hold(_of_request(requests, F.col("region")), secrets)
+    verdict = F.when(F.col("region") != region, "Scope").when(F.abs(F.col("now") - F.col("at")) > SKEW, "Expired").when(~F.col("access_key").isin(list(secrets)), "UnknownKey").when(F.col("holds"), "Holds").otherwise("Mismatch")
+    return judged.withColumn("verdict", verdict).drop("to_sign", "date", "holds")
+
+
 def checksum_header(digest_hex: str) -> str:
     return base64.b64encode(bytes.fromhex(digest_hex)).decode()
