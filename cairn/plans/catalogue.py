@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, governance, integrity, measure, replay, store  # noqa: F401  they register themselves
+from . import documents, governance, integrity, machines, measure, replay, store  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 
