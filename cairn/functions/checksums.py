@@ -85,6 +85,32 @@ def xxh(kind: str, body: Column) -> Column:
     return of(body)
 
 
+#: The names of checksums as requests give them, and ours.
+ALGORITHMS = {"CRC32": "crc32", "CRC32C": "crc32c", "CRC64NVME": "crc64nvme", "SHA1": "sha1", "SHA256": "sha256", "SHA512": "sha512", "MD5": "md5", "XXHASH64": "xxh64", "XXHASH3": "xxh3_64", "XXHASH128": "xxh3_128"}
+
+
+def digest(algorithm: Column, body: Column, only: list[str] | None = None) -> Column:
+    """The hexadecimal digest of a body by the algorithm that a row names, in any case; null for an unknown one. With ``only`` no other is computed."""
+    built = {"sha1": lambda: F.sha1(body), "sha256": lambda: F.sha2(body, 256), "sha512": lambda: F.sha2(body, 512), "md5": lambda: F.md5(body), "crc32": lambda: F.lpad(F.lower(F.hex(F.crc32(body))), 8, "0")}
+    out = F.lit(None).cast("string")
+    for name, ours in ALGORITHMS.items():
+        if only is None or name in only:
+            of = built[ours]() if ours in built else crc(ours, body) if ours in POLYNOMIALS else xxh(ours, body)
+            out = F.when(F.upper(algorithm) == name, of).otherwise(out)
+    return out
+
+
+def joined(kind: str, first: Column, second: Column, size: Column) -> Column:
+    """The CRC of two bodies one after the other, from their CRCs (hexadecimal) and the second's size."""
+    digits = POLYNOMIALS[kind][1] // 4
+
+    @F.pandas_udf("string")
+    def of(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([f"{combine(kind, int(x, 16), int(y, 16), int(k)):0{digits}x}" for x, y, k in zip(a, b, n, strict=True)])
+
+    return of(first, second, size)
+
+
 def full_object(kind: str, parts: Column) -> Column:
     """The checksum of an object from its parts' (number, hexadecimal CRC, size), in order."""
     digits = POLYNOMIALS[kind][1] // 4

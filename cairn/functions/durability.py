@@ -10,6 +10,7 @@ import numpy as np
 CODES = [(2, 1), (3, 2), (4, 2), (6, 3), (8, 4), (10, 4), (9, 6)]
 SCHEMES = [(1, 0), (1, 1), (1, 2), *CODES]
 YEAR = 8766.0  # hours
+TERMS = 40  # of the series over a short stretch
 
 
 def chain(data: int, parity: int, failure: float, repair: float, bursts: tuple[tuple[float, float], ...] = ()) -> np.ndarray:
@@ -29,7 +30,7 @@ def chain(data: int, parity: int, failure: float, repair: float, bursts: tuple[t
 
 
 def mean_time_to_loss(q: np.ndarray) -> float:
-    """Mean time from state 0 to the last. States are eliminated from the highest; nothing is subtracted, so small rates keep their digits."""
+    """Mean time from state 0 to the last: the states between are folded into those that lead to them, one after the other."""
     q = q.copy()
     last = len(q) - 1
     hold = np.zeros(last)
@@ -52,8 +53,22 @@ def mean_time_to_loss(q: np.ndarray) -> float:
     return float(hold[0] / q[0, last]) if q[0, last] > 0 else math.inf
 
 
+def loss_upper(q: np.ndarray, hours: float) -> float:
+    """An upper end of the probability of loss within a time: the computed one, its rounding and the cut series added.
+
+    All terms are sums of products of what isn't negative, so the relative error grows by a few units in the last place
+    with each operation, and twofold with each squaring.
+    """
+    rate = max(float((q.sum(axis=1) - np.diag(q)).max()), 1e-300)
+    squarings = max(0, math.ceil(math.log2(max(rate * hours, 1e-300) / 0.5)))
+    relative = 4 * len(q) * (TERMS + 2) * 2.0**squarings * np.finfo(float).eps
+    cut = 2.0**squarings * 0.5**TERMS / math.factorial(TERMS)
+    return min(1.0, math.nextafter(loss_within(q, hours) * (1 + relative) + cut, 2.0))
+
+
 def loss_within(q: np.ndarray, hours: float) -> float:
-    """Probability of loss within a time from state 0, by uniformisation with scaling and squaring; every term is non-negative."""
+    """Probability of loss within a time from state 0: the chain at a common rate of events, over a stretch short enough for
+    half an event, whose matrix is then squared up to the whole time."""
     rate = max(float((q.sum(axis=1) - np.diag(q)).max()), 1e-300)
     squarings = max(0, math.ceil(math.log2(max(rate * hours, 1e-300) / 0.5)))
     tau = rate * hours / 2.0**squarings
@@ -61,7 +76,7 @@ def loss_within(q: np.ndarray, hours: float) -> float:
     np.fill_diagonal(jump, 1 - (q.sum(axis=1) - np.diag(q)) / rate)
     term, total = np.eye(len(q)), np.zeros_like(q)
     weight = math.exp(-tau)
-    for n in range(40):
+    for n in range(TERMS):
         total += weight * term
         term = term @ jump
         weight *= tau / (n + 1)
@@ -71,8 +86,8 @@ def loss_within(q: np.ndarray, hours: float) -> float:
 
 
 def choose(domains: int, failure: float, repair: float, target: float, bursts: tuple[tuple[float, float], ...] = ()) -> tuple[int, int, float, bool] | None:
-    """(data, parity, annual loss, meets): the cheapest scheme within the domains that meets the target, of equal cost the narrower, else the safest."""
-    fits = [(d, p, loss_within(chain(d, p, failure, repair, bursts), YEAR)) for d, p in SCHEMES if d + p <= domains]
+    """(data, parity, annual loss, meets): the cheapest scheme within the domains whose loss is surely within the target, of equal cost the narrower, else the safest."""
+    fits = [(d, p, loss_upper(chain(d, p, failure, repair, bursts), YEAR)) for d, p in SCHEMES if d + p <= domains]
     meets = [x for x in fits if x[2] <= target]
     if meets:
         d, p, loss = min(meets, key=lambda x: ((x[0] + x[1]) / x[0], x[0] + x[1]))

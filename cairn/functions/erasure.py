@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _EXP = np.zeros(512, np.int64)
 _LOG = np.zeros(256, np.int64)
@@ -66,3 +69,20 @@ def rebuild(present: dict[int, bytes], data: int, parity: int) -> list[bytes]:
                 left[r] = (np.array(left[r], np.uint8) ^ _scale(f, np.array(left[col], np.uint8))).tolist()
                 right[r] = right[r] ^ _scale(f, right[col])
     return encode(b"".join(x.tobytes() for x in right), data, parity)
+
+
+def rebuilt(body: Column, lost: Column, data: int, parity: int) -> Column:
+    """(body, chunk): bodies cut into stripes and rebuilt without the chunks of the listed indices; null body where too many are lost."""
+
+    @F.pandas_udf("body binary, chunk long")
+    def of(bodies: pd.Series, indices: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b, gone in zip(bodies, indices, strict=True):
+            block = bytes(b)
+            chunks = encode(block, data, parity)
+            present = {i: c for i, c in enumerate(chunks) if i not in set(map(int, gone))}
+            whole = b"".join(rebuild(present, data, parity)[:data])[: len(block)] if len(present) >= data else None
+            rows.append((whole, len(chunks[0])))
+        return pd.DataFrame(rows, columns=["body", "chunk"])
+
+    return of(body, lost)

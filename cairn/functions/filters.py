@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import in_network  # noqa: F401  of either family, as an expression
@@ -50,6 +50,28 @@ def bloom_may_hold(filter_: Column, key: Column) -> Column:
     return of(filter_, key)
 
 
+def probes(key: Column, bits: int) -> Column:
+    """The bits that a key sets in a filter of a size: two hashes and their sums, as many as PROBES."""
+    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
+    at = lambda k: F.pmod((a.cast("decimal(20,0)") + b.cast("decimal(20,0)") * k).cast("decimal(38,0)"), F.lit(bits).cast("decimal(20,0)")).cast("long")
+    return F.array(*[at(k) for k in range(PROBES)])
+
+
+def filters_of(rows: DataFrame, by: list[str], key: str, bits: int) -> DataFrame:
+    """(by, word, set): the words of one filter for each group, 64 bits a word. Keys are combined map-side, whatever their number."""
+    at = rows.select(*by, F.explode(probes(F.col(key), bits)).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    return at.groupBy(*by, F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("set"))
+
+
+def held_by(rows: DataFrame, filters: DataFrame, by: list[str], key: str, bits: int) -> DataFrame:
+    """(by, key, may_hold): each distinct key's answer from its group's filter."""
+    asked = rows.select(*by, key).distinct().withColumn("at", F.explode(probes(F.col(key), bits))).withColumn("word", F.floor(F.col("at") / 64))
+    met = asked.join(filters, [*by, "word"], "left")
+    on = F.call_function("shiftright", F.coalesce("set", F.lit(0).cast("long")), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return met.groupBy(*by, key).agg(F.bool_and(on).alias("may_hold"))
+
+
 def separator(a: bytes, b: bytes) -> bytes:
     """The shortest key at least a and below b, where a < b; a itself where none is shorter."""
     n = 0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000  # microseconds
+MOST_RULES = 1000
 
 
 def due(start: Column, days: Column) -> Column:
@@ -22,8 +23,10 @@ def due(start: Column, days: Column) -> Column:
 def earliest(objects: DataFrame, rules: DataFrame, matches: Column, at: Column, keys: list[str]) -> DataFrame:
     """For each object the earliest due date over the rules that apply; of equal dates the first rule.
 
-    Rules are a document of bounded size (a thousand rules at most), so they go to every task.
+    Rules are a document of a thousand rules at most, which is checked, so they go to every task.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     met = objects.join(F.broadcast(rules), matches)
     return met.groupBy(*keys).agg(F.min(F.struct(at.alias("at"), F.col("ordinal"), F.col("rule"))).alias("_m")).select(*keys, F.col("_m.at").alias("due"), F.col("_m.rule").alias("rule"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRETCH = 1 << 16  # places of a log that one pass takes in order
+VOLUMES = 10_000  # that are sent to every task
+
+
 def orphans(held: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     return held.join(named.select(*keys).distinct(), keys, "left_anti")
 
@@ -26,11 +29,24 @@ def clean_scores(segments: DataFrame) -> DataFrame:
 
 
 def monotone_clock(log: DataFrame, keys: list[str], order: str, at: str) -> DataFrame:
-    """Each entry's tick: the later of its time and the last tick plus one. With i the place, tick = i + max(at_j - j) up to it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    placed = log.withColumn("_i", F.row_number().over(w).cast("long"))
-    run = F.max(F.col(at) - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("tick", F.col("_i") + run).drop("_i")
+    """Each entry's tick: the later of its time and the last tick plus one. With i the place, tick = i + max(at_j - j) up to it.
+
+    A log is dealt to stretches of STRETCH places in its order (a whole number); each runs by itself, and takes over
+    from those before it what they add up to: their number of entries and the greatest at_j - j.
+    """
+    cut = log.withColumn("_part", F.floor(F.col(order) / STRETCH))
+    w = Window.partitionBy(*keys, "_part").orderBy(order)
+    placed = cut.withColumn("_i", F.row_number().over(w).cast("long"))
+    placed = placed.withColumn("_run", F.max(F.col(at) - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.max(F.col(at) - F.col("_i")).alias("_most"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sums = sums.withColumn("_carry", F.max(F.col("_most") - F.col("_from")).over(before)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_from", "_carry")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = placed.join(sums, same)
+    return met.select(*log.columns, (F.col("_from") + F.col("_i") + F.greatest(F.col("_run") - F.col("_from"), "_carry")).alias("tick"))
 
 
 def first_of_each(log: DataFrame, identity: list[str], order: str) -> DataFrame:
@@ -48,13 +64,14 @@ def sessions(log: DataFrame, key: str, at: str, gap: int) -> DataFrame:
     return numbered.groupBy(key, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("uses"))
 
 
-def _draw(words: list[int]) -> int:
-    mask, x = (1 << 64) - 1, 0
+def _draw(words: list[np.ndarray]) -> np.ndarray:
+    """A chain of SplitMix64 steps over words, all rows at once."""
+    x = np.zeros(len(words[0]), np.uint64)
     for word in words:
-        z = (x ^ word) + 0x9E3779B97F4A7C15 & mask
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
-        x = z ^ z >> 31
+        z = (x ^ word) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x = z ^ z >> np.uint64(31)
     return x
 
 
@@ -63,8 +80,11 @@ def rendezvous_key(block: Column, volume: Column, size: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(blocks: pd.Series, volumes: pd.Series, sizes: pd.Series) -> pd.Series:
-        top = [_draw([int(b), 0, int(v), 0]) >> 11 for b, v in zip(blocks, volumes, strict=True)]
-        return pd.Series([math.log((t + 1) / (1 << 53)) / s if s > 0 else -math.inf for t, s in zip(top, sizes, strict=True)])
+        none = np.zeros(len(blocks), np.uint64)
+        top = _draw([blocks.to_numpy(np.int64).view(np.uint64), none, volumes.to_numpy(np.int64).view(np.uint64), none]) >> np.uint64(11)
+        size = sizes.to_numpy(np.float64)
+        drawn = np.log((top.astype(np.float64) + 1) / float(1 << 53))
+        return pd.Series(np.where(size > 0, drawn / np.where(size > 0, size, 1), -np.inf))
 
     return of(block, volume, size)
 
@@ -72,9 +92,11 @@ def rendezvous_key(block: Column, volume: Column, size: Column) -> Column:
 def placement(blocks: DataFrame, volumes: DataFrame) -> DataFrame:
     """Each block's volumes in the order they are offered: the best of each domain, then the rest, volumes of no bytes last.
 
-    The volume table is a cell's own, of bounded size; every block weighs all of it, which is what the order means.
+    Every block weighs every volume, which is what the order means. A cell's table is small and goes to every task; a
+    larger one than VOLUMES is left to Spark to deal out.
     """
-    pairs = blocks.join(F.broadcast(volumes))
+    few = volumes.limit(VOLUMES + 1).count() <= VOLUMES
+    pairs = blocks.crossJoin(F.broadcast(volumes) if few else volumes)
     keyed = pairs.withColumn("key", rendezvous_key(F.col("block"), F.col("volume"), F.col("bytes")))
     of_domain = F.row_number().over(Window.partitionBy("block", "domain").orderBy(F.desc("key"), "volume"))
     placed = keyed.withColumn("_n", of_domain)

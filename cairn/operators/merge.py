@@ -50,12 +50,58 @@ def floor_of(rows: DataFrame, starts: list[str], key: str = "key") -> DataFrame:
     return rows.withColumn("start", F.coalesce(*lower) if lower else F.lit(None).cast("string"))
 
 
-def floor_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[str] | None = None) -> DataFrame:
-    """floor_of for a table of starts (column start, and those of by): both sides in one order, the last start carried on."""
+MARKS = 128  # cuts of the key order, so that an ordered pass is dealt to as many tasks
+
+
+def cuts(starts: DataFrame, column: str, count: int = MARKS) -> list[str]:
+    """About evenly spread values of a column: the middle ones of a draw by hash, of bounded size."""
+    drawn = sorted(r[0] for r in starts.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column), column).limit(8 * count).collect())
+    return sorted({drawn[i * len(drawn) // count] for i in range(1, count)}) if len(drawn) >= count else drawn
+
+
+def ordered_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[str] | None = None, above: bool = False) -> DataFrame:
+    """Each row with the greatest start at or below its key, or with ``above`` the least at or above it; null where there is none.
+
+    ``starts`` has a column start and those of by. Both sides are dealt to ranges of the key order; within a range one
+    ordered pass carries the nearest start on, and a range without one before a row takes it from the ranges before.
+    """
     by = by or []
-    both = rows.withColumn("_s", F.lit(None).cast("string")).unionByName(starts.select(*by, F.col("start").alias(key), F.col("start").alias("_s")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col(key), F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("start", F.last("_s", ignorenulls=True).over(w)).where("_s is null").drop("_s")
+    marks = cuts(starts, "start")
+    part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(key))) if marks else F.lit(0)
+    known = starts.select(*by, F.col("start").alias(key), F.col("start").alias("_s")).distinct()
+    both = rows.withColumn("_s", F.lit(None).cast("string")).unionByName(known, allowMissingColumns=True).withColumn("_part", part)
+    order = [F.desc(key) if above else F.asc(key), F.col("_s").isNull()]
+    w = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_near", F.last("_s", ignorenulls=True).over(w)).where("_s is null").drop("_s")
+    # of each range its outermost start, carried over the ranges: as many rows as ranges
+    ends = known.withColumn("_part", part).groupBy(*by, "_part").agg((F.min("_s") if above else F.max("_s")).alias("_end"))
+    # a range is reached from any before it, so each row joins the ranges' ends once they are spread
+    all_parts = [F.lit(p) for p in range(len(marks) + 1)]
+    grid = ends.select(*by).distinct().withColumn("_part", F.explode(F.array(*all_parts)))
+    over_ = Window.partitionBy(*by).orderBy(F.desc("_part") if above else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(ends, [*by, "_part"], "left").withColumn("_carry", F.last("_end", ignorenulls=True).over(over_)).select(*by, "_part", "_carry")
+    return near.join(carried, [*by, "_part"], "left").withColumn("start", F.coalesce("_near", "_carry")).select(*rows.columns, "start")
+
+
+def floor_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[str] | None = None) -> DataFrame:
+    """floor_of for a table of starts."""
+    return ordered_join(rows, starts, key, by)
+
+
+def ceil_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[str] | None = None) -> DataFrame:
+    """Each row with the least start at or above its key."""
+    return ordered_join(rows, starts, key, by, above=True)
+
+
+def merge_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Ranges (low, high) that meet or overlap as one, by their groups; a null high has no end."""
+    w = Window.partitionBy(*by).orderBy("low", "high")
+    open_ = F.col("high").isNull()
+    seen = w.rowsBetween(Window.unboundedPreceding, -1)
+    endless, reach = F.max(open_.cast("int")).over(seen), F.max("high").over(seen)
+    fresh = F.coalesce(~((endless == 1) | (F.col("low") <= reach)), F.lit(True)).cast("int")
+    marked = ranges.withColumn("_new", fresh).withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, "_n").agg(F.min("low").alias("low"), F.when(F.max(open_.cast("int")) == 0, F.max("high")).alias("high"), F.count("*").alias("ranges")).drop("_n")
 
 
 def page(rows: DataFrame, order: list[str], limit: int, after: tuple | None = None) -> DataFrame:

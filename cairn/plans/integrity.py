@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import checksums
+from cairn.functions import checksums, erasure, filters
+from cairn.sources import log_files
 from cairn.sources.views import Lake
 
 from .registry import query
@@ -106,3 +108,88 @@ def stripe_layout(lake: Lake) -> DataFrame:
     c = s.withColumn("chunk", chunk).withColumn("data", F.explode(F.sequence(F.lit(0), F.lit(5))))
     first = F.least(F.col("data") * F.col("chunk"), F.col("len"))
     return c.select("object", "len", "chunk", F.col("data").cast("long").alias("data"), first.alias("first"), F.least(first + F.col("chunk"), F.col("len")).alias("past"))
+
+
+@query("checksum_dispatch", over("objects", "a AS (SELECT object, body, ['MD5', 'sha1', 'Sha256', 'SHA3'][object % 4 + 1] AS algorithm FROM objects)", body="SELECT object, algorithm, CASE upper(algorithm) WHEN 'MD5' THEN md5(body) WHEN 'SHA1' THEN sha1(body) WHEN 'SHA256' THEN sha256(body) END AS digest FROM a"))
+def checksum_dispatch(lake: Lake) -> DataFrame:
+    """A digest by the algorithm that each row names; an unknown one has none."""
+    named = lake.objects().withColumn("algorithm", F.get(F.array(*map(F.lit, ("MD5", "sha1", "Sha256", "SHA3"))), (F.col("object") % 4).cast("int")))
+    return named.select("object", "algorithm", checksums.digest(F.col("algorithm"), F.col("body"), ["MD5", "SHA1", "SHA256"]).alias("digest"))
+
+
+@query("checksum_all")
+def checksum_all(lake: Lake) -> DataFrame:
+    """Every algorithm in turn."""
+    names = list(checksums.ALGORITHMS)
+    named = lake.objects().withColumn("algorithm", F.get(F.array(*map(F.lit, names)), (F.col("object") % len(names)).cast("int")))
+    return named.select("object", "algorithm", checksums.digest(F.col("algorithm"), F.col("body")).alias("digest"))
+
+
+@query("crc_joined", over("parts", DISTINCT_PARTS, "n AS (SELECT upload, part, body, lead(body) OVER (PARTITION BY upload ORDER BY part) AS after FROM d)", body="SELECT upload, part, true AS crc32, true AS crc32c, true AS crc64nvme FROM n WHERE after IS NOT NULL"))
+def crc_joined(lake: Lake) -> DataFrame:
+    """Whether the checksums of two parts, combined without their data, are those of the parts one after the other."""
+    after = F.lead("body").over(Window.partitionBy("upload").orderBy("part"))
+    n = distinct_parts(lake).withColumn("after", after).where("after is not null")
+    one = lambda k: checksums.joined(k, checksums.crc(k, F.col("body")), checksums.crc(k, F.col("after")), F.octet_length("after").cast("long")) == checksums.crc(k, F.concat("body", "after"))
+    return n.select("upload", "part", *[one(k).alias(k) for k in ("crc32", "crc32c", "crc64nvme")])
+
+
+@query("erasure_rebuilt", over("objects", "s AS (SELECT object, body, CAST(octet_length(encode(body)) AS BIGINT) AS len FROM objects)", body="SELECT object, CASE WHEN object % 5 <> 4 THEN md5(body) END AS found, greatest(2, ((len + 3) // 4 + 1) // 2 * 2) AS chunk FROM s"))
+def erasure_rebuilt(lake: Lake) -> DataFrame:
+    """Objects in four data and two parity chunks, rebuilt without two of them, or not at all without three."""
+    k = F.col("object") % 5
+    lost = F.when(k == 0, F.array(F.lit(0), F.lit(1))).when(k == 1, F.array(F.lit(3), F.lit(5))).when(k == 2, F.array(F.lit(4), F.lit(5))).when(k == 3, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2), F.lit(4)))
+    return lake.objects().select("object", erasure.rebuilt(F.encode("body", "UTF-8"), lost, 4, 2).alias("r")).select("object", F.md5("r.body").alias("found"), "r.chunk")
+
+
+BITS = 1 << 14
+
+
+@query("bloom_buckets", over("version_log", body="SELECT bucket, true AS held, true AS few_strangers FROM version_log GROUP BY bucket"))
+def bloom_buckets(lake: Lake) -> DataFrame:
+    """A filter of each bucket's keys: it holds all of them, and takes few others for one."""
+    log = lake.version_log().select("bucket", "key")
+    made = filters.filters_of(log, ["bucket"], "key", BITS)
+    strangers = log.distinct().select("bucket", F.concat("key", F.lit("?")).alias("key"))
+    own = filters.held_by(log, made, ["bucket"], "key", BITS).groupBy("bucket").agg(F.bool_and("may_hold").alias("held"))
+    others = filters.held_by(strangers, made, ["bucket"], "key", BITS).groupBy("bucket").agg((F.avg(F.col("may_hold").cast("int")) < 0.05).alias("few_strangers"))
+    return own.join(others, "bucket")
+
+
+@query("log_records", over("version_log", "n AS (SELECT user_id, seq, etag, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i FROM version_log)", "m AS (SELECT * FROM (VALUES ('absolute'), ('tolerate_tail'), ('point_in_time'), ('skip_corrupted')) t(mode))", "d AS (SELECT mode, user_id, total, CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN total ELSE greatest((total + 1) // 2, 1) END AS lost, user_id % 3 AS damage FROM m, (SELECT DISTINCT user_id, total FROM n))",
+    "r AS (SELECT mode, user_id, damage, n.i, n.etag FROM d JOIN n USING (user_id) WHERE damage = 0 OR (damage = 1 AND mode <> 'absolute' AND n.i < lost) OR (damage = 2 AND mode = 'point_in_time' AND n.i < lost))",
+    body="SELECT d.user_id, d.mode, NOT (d.damage = 0 OR (d.damage = 1 AND d.mode <> 'absolute') OR (d.damage = 2 AND d.mode = 'point_in_time')) AS refused, count(r.i) AS records, md5(coalesce(string_agg(r.etag, '' ORDER BY r.i), '')) AS digest FROM d LEFT JOIN r ON r.user_id = d.user_id AND r.mode = d.mode WHERE NOT (d.damage = 2 AND d.mode = 'skip_corrupted') GROUP BY ALL"))
+def log_records(lake: Lake) -> DataFrame:
+    """Each user's log written and read under every recovery mode: whole, with its last record cut, or with one damaged in the middle.
+
+    What reading over damage finds depends on where blocks end, so that is left to the tests.
+    """
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        user, records = int(key[0]), [e.encode() for e in pdf.sort_values("seq")["etag"]]
+        data = bytearray(log_files.write(records))
+        if user % 3 == 1:
+            del data[-3:]
+        elif user % 3 == 2:
+            middle = len(log_files.write(records[: max((len(records) + 1) // 2, 1)])) - 1
+            data[middle] ^= 0xFF
+        rows = []
+        for mode in log_files.MODES:
+            if user % 3 == 2 and mode == "skip_corrupted":
+                continue
+            try:
+                found, refused = log_files.read(bytes(data), mode), False
+            except ValueError:
+                found, refused = [], True
+            rows.append((user, mode, refused, len(found), b"".join(found).decode()))
+        return pd.DataFrame(rows, columns=["user_id", "mode", "refused", "records", "text"])
+
+    read = lake.version_log().select("user_id", "seq", "etag").groupBy("user_id").applyInPandas(of, "user_id long, mode string, refused boolean, records long, text string")
+    return read.select("user_id", "mode", "refused", "records", F.md5("text").alias("digest"))
+
+
+@query("range_images", over("version_log", body="SELECT bucket, key, seq, size FROM version_log WHERE key >= '3/' AND key < '7/'"))
+def range_images(lake: Lake) -> DataFrame:
+    """A range's rows written as an image and installed from it."""
+    rows = lake.version_log().where("key >= '3/' and key < '7/'").select("bucket", "key", "seq", "size")
+    return log_files.through_image(rows, ["bucket", "key", "seq"])

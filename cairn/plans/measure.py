@@ -92,6 +92,19 @@ def series_judged(lake: Lake) -> DataFrame:
     return rows.groupBy("user_id").applyInPandas(of, schema)
 
 
+@query("series_enough")
+def series_enough(lake: Lake) -> DataFrame:
+    """Whether each user's rounds suffice, and the exact interval of the share of them above the mean of all."""
+    rows = lake.version_log().select("user_id", "seq", "value")
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        xs = pdf.sort_values("seq")["value"].to_numpy()
+        low, high = series.share_interval(int((xs > xs.mean()).sum()), len(xs)) if len(xs) <= series.MAX_ROUNDS else (0.0, 1.0)
+        return pd.DataFrame([{"user_id": key[0], "rounds": len(xs), "enough": series.enough(xs, 10, 80, 0.15), "low": low, "high": high}])
+
+    return rows.groupBy("user_id").applyInPandas(of, "user_id long, rounds int, enough boolean, low double, high double")
+
+
 @query("durability_choice")
 def durability_choice(lake: Lake) -> DataFrame:
     """The scheme for each failure rate, repair time and number of domains of a grid."""
@@ -117,9 +130,10 @@ def orphan_files(lake: Lake) -> DataFrame:
     return dataflow.orphans(lake.files(), lake.table("lineitem").select(F.col("l_orderkey").alias("file")), ["file"]).select("file", "made")
 
 
-@query("orphan_blocks", over(body="SELECT p_partkey AS block FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)"))
+@query("orphan_blocks", over(body="SELECT p_partkey AS block FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)"))
 def orphan_blocks(lake: Lake) -> DataFrame:
-    named = lake.table("lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("block"))
+    """Blocks that no extent names."""
+    named = lake.table("lineitem").select(F.col("l_partkey").alias("block"))
     return dataflow.orphans(lake.table("part").select(F.col("p_partkey").alias("block")), named, ["block"])
 
 
@@ -157,10 +171,10 @@ def reclaimable_segments(lake: Lake) -> DataFrame:
     return dataflow.clean_scores(segments(lake)).select("segment", "reclaimable", F.col("live").cast("long").alias("live"))
 
 
-@query("reclaim_cascade", over("files", body="SELECT l_partkey AS block, count(*) AS extents FROM lineitem JOIN files ON file = l_orderkey WHERE status = 'F' AND l_quantity >= 47 AND NOT EXISTS (SELECT 1 FROM lineitem l2 JOIN files f2 ON f2.file = l2.l_orderkey WHERE f2.status <> 'F' AND l2.l_quantity >= 47 AND l2.l_partkey = lineitem.l_partkey) GROUP BY 1"))
+@query("reclaim_cascade", over("files", body="SELECT l_partkey AS block, count(*) AS extents FROM lineitem JOIN files ON file = l_orderkey WHERE status = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem l2 JOIN files f2 ON f2.file = l2.l_orderkey WHERE f2.status <> 'F' AND l2.l_partkey = lineitem.l_partkey) GROUP BY 1"))
 def reclaim_cascade(lake: Lake) -> DataFrame:
     """Blocks that only released files hold."""
-    e = lake.table("lineitem").where("l_quantity >= 47").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("block")).join(lake.files().select("file", "status"), "file")
+    e = lake.table("lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("block")).join(lake.files().select("file", "status"), "file")
     held = F.count_if(F.col("status") != "F")
     return e.groupBy("block").agg(F.count("*").alias("extents"), held.alias("held")).where("held = 0").select("block", "extents")
 

@@ -203,7 +203,9 @@ def volume_keys(lake: Lake) -> DataFrame:
 @query("domain_spread", over("volumes", body="SELECT l_orderkey AS file, count(DISTINCT v.domain) AS domains, count(DISTINCT v.node) AS nodes, count(DISTINCT v.volume) AS volumes FROM lineitem JOIN volumes v ON v.volume = l_suppkey GROUP BY 1"))
 def domain_spread(lake: Lake) -> DataFrame:
     li = lake.table("lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("volume"))
-    return li.join(lake.volumes(), "volume").groupBy("file").agg(F.countDistinct("domain").alias("domains"), F.countDistinct("node").alias("nodes"), F.countDistinct("volume").alias("volumes"))
+    # a volume is of one node and one domain: sets of each, combined map-side, instead of a row for each distinct count
+    each = li.join(lake.volumes(), "volume").groupBy("file").agg(*[F.collect_set(c).alias(c) for c in ("domain", "node", "volume")])
+    return each.select("file", *[F.size(c).cast("long").alias(f"{c}s") for c in ("domain", "node", "volume")])
 
 
 @query("census", over("volumes", body="SELECT domain, count(DISTINCT node) AS nodes, count(*) AS volumes FROM volumes GROUP BY domain"))
@@ -263,3 +265,95 @@ def shared_prefixes(lake: Lake) -> DataFrame:
 def url_query_pairs(lake: Lake) -> DataFrame:
     q = F.substring_index(F.regexp_extract("url", r"\?([^#]*)", 1), "#", 1)
     return lake.table("pages").where(F.instr("url", "?") > 0).select("page_id", F.explode(keys.query_pairs(q)).alias("p")).select("page_id", "p.name", "p.value")
+
+
+# named versions, orders and ranges
+
+
+@query("named_versions", over("version_log", "f AS (SELECT bucket, key, min(seq) AS named FROM version_log GROUP BY 1, 2)", "z AS (SELECT bucket, key, max(seq) AS nulls FROM version_log WHERE bucket IN ('b0', 'b3') GROUP BY 1, 2)", body="SELECT f.bucket, f.key, CASE WHEN f.named % 2 = 0 THEN 'null' ELSE CAST(f.named AS VARCHAR) END AS named, CASE WHEN f.named % 2 = 0 THEN z.nulls ELSE f.named END AS seq, v.marker FROM f LEFT JOIN z USING (bucket, key) LEFT JOIN version_log v ON v.seq = CASE WHEN f.named % 2 = 0 THEN z.nulls ELSE f.named END"))
+def named_versions(lake: Lake) -> DataFrame:
+    """The version that each request names: by its order, or the null one, which only buckets without versions of their own have."""
+    log = lake.version_log().select(*KEY, "seq", "marker")
+    first = log.groupBy(*KEY).agg(F.min("seq").alias("first"))
+    asked = first.select(*KEY, F.when(F.col("first") % 2 == 0, "null").otherwise(F.col("first").cast("string")).alias("named"))
+    nulls = log.where(F.col("bucket").isin("b0", "b3")).groupBy(*KEY).agg(F.max("seq").alias("pointer"))
+    order = F.when(F.col("named") == "null", F.col("pointer")).otherwise(F.col("named").try_cast("long"))
+    met = asked.join(nulls, KEY, "left").withColumn("seq", order)
+    return met.join(log.select(*KEY, "seq", "marker"), [*KEY, "seq"], "left").select(*KEY, "named", "seq", "marker")
+
+
+@query("reverse_rows", over(body="SELECT DISTINCT l_suppkey AS volume, l_partkey AS block FROM lineitem"))
+def reverse_rows(lake: Lake) -> DataFrame:
+    """Index rows (a volume's blocks) as keys in byte order, and what they decode to."""
+    digits = lambda c: F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
+    rows = lake.table("lineitem").select(F.concat(digits("l_suppkey"), digits("l_partkey")).alias("row")).distinct()
+    read = lambda at: F.conv(F.substring("row", at, 16), 16, 10).cast("long")
+    return rows.select(read(1).alias("volume"), read(17).alias("block"))
+
+
+@query("range_route_ceil", over("version_log", "s AS (SELECT bucket, key AS start FROM version_log WHERE marker GROUP BY 1, 2)", "k AS (SELECT DISTINCT bucket, key FROM version_log)", body="SELECT k.bucket, k.key, min(s.start) AS start FROM k LEFT JOIN s ON s.bucket = k.bucket AND s.start >= k.key GROUP BY 1, 2"))
+def range_route_ceil(lake: Lake) -> DataFrame:
+    log = lake.version_log()
+    starts = log.where("marker").select("bucket", F.col("key").alias("start")).distinct()
+    return merge.ceil_join(log.select(*KEY).distinct(), starts, by=["bucket"])
+
+
+RANGES = "r AS (SELECT bucket, low, lead(low) OVER (PARTITION BY bucket ORDER BY low) AS high FROM (SELECT bucket, key AS low FROM version_log GROUP BY 1, 2))"
+
+
+@query("merged_ranges", over("version_log", RANGES, "kept AS (SELECT * FROM r WHERE NOT contains(low, '7'))", "n AS (SELECT *, CASE WHEN lag(high) OVER w = low THEN 0 ELSE 1 END AS fresh FROM kept WINDOW w AS (PARTITION BY bucket ORDER BY low))", "g AS (SELECT *, sum(fresh) OVER (PARTITION BY bucket ORDER BY low) AS n FROM n)", body="SELECT bucket, min(low) AS low, CASE WHEN count(high) = count(*) THEN max(high) END AS high, count(*) AS ranges FROM g GROUP BY bucket, g.n"))
+def merged_ranges(lake: Lake) -> DataFrame:
+    """Ranges that border on one another as one; those that were taken away leave gaps."""
+    lows = lake.version_log().select("bucket", F.col("key").alias("low")).distinct()
+    ranges = lows.withColumn("high", F.lead("low").over(Window.partitionBy("bucket").orderBy("low")))
+    return merge.merge_ranges(ranges.where(~F.contains(F.col("low"), F.lit("7"))), ["bucket"])
+
+
+@query("multi_range_page", over("version_log", "ranked", "live AS (SELECT bucket, key, seq FROM ranked WHERE nth = 1 AND NOT marker AND ((key >= '1/' AND key < '2/') OR (key >= '4/2' AND key < '6/') OR key >= '8/'))", "p AS (SELECT *, row_number() OVER (ORDER BY key, bucket) AS n FROM live)", body="SELECT bucket, key, seq, (SELECT key || '/' || bucket FROM p WHERE n = 30) AS next FROM p WHERE n <= 30"))
+def multi_range_page(lake: Lake) -> DataFrame:
+    """One page over several ranges and three runs: what a range leaves of the limit goes to the next, and the page says where to go on."""
+    log = lake.version_log().select(*KEY, "seq", "marker")
+    spans = [("1/", "2/"), ("4/2", "6/"), ("8/", None)]
+    within = F.lit(False)
+    for low, high in spans:
+        within = within | ((F.col("key") >= low) & (F.lit(True) if high is None else F.col("key") < high))
+    runs = [log.where(within & (F.col("seq") % 3 == k)) for k in range(3)]
+    found = merge.page(merge.merge_runs(runs, KEY).select(*KEY, "seq"), ["key", "bucket"], 30)
+    last = F.max(F.struct("key", "bucket")).over(Window.partitionBy())
+    return found.select(*KEY, "seq", F.when(F.col("truncated"), F.concat_ws("/", last["key"], last["bucket"])).alias("next"))
+
+
+@query("reverse_page", over("version_log", "ranked", body="SELECT bucket, key, seq FROM ranked WHERE nth = 1 AND NOT marker ORDER BY key DESC, bucket DESC LIMIT 20"))
+def reverse_page(lake: Lake) -> DataFrame:
+    """A page in the reverse order of keys."""
+    return merge.current(lake.version_log(), KEY).select(*KEY, "seq").orderBy(F.desc("key"), F.desc("bucket")).limit(20)
+
+
+@query("range_meets", over("version_log", RANGES, body="SELECT bucket, low, low <= '4/5' AND (high IS NULL OR high > '4/5') AS holds, low < '6/' AND (high IS NULL OR high > '3/1') AS meets FROM r"))
+def range_meets(lake: Lake) -> DataFrame:
+    """Whether a range holds a route, and whether it meets a span."""
+    lows = lake.version_log().select("bucket", F.col("key").alias("low")).distinct()
+    high = F.lead("low").over(Window.partitionBy("bucket").orderBy("low"))
+    beyond = lambda at: F.col("high").isNull() | (F.col("high") > at)
+    return lows.withColumn("high", high).select("bucket", "low", ((F.col("low") <= "4/5") & beyond("4/5")).alias("holds"), ((F.col("low") < "6/") & beyond("3/1")).alias("meets"))
+
+
+@query("pruned_merge", over("version_log", "runs AS (SELECT substr(key, 1, 1) AS run, min(key) AS low, max(key) AS high FROM version_log GROUP BY 1)", "ranked", body="SELECT (SELECT count(*) FROM runs WHERE low < '5/6' AND high >= '3/2') AS runs, bucket, count(*) AS keys, CAST(sum(seq) AS BIGINT) AS seqs FROM ranked WHERE nth = 1 AND NOT marker AND key >= '3/2' AND key < '5/6' GROUP BY bucket"))
+def pruned_merge(lake: Lake) -> DataFrame:
+    """A merge over a span that opens only the runs whose bounds meet it."""
+    log = lake.version_log().select(*KEY, "seq", "marker").withColumn("run", F.substring("key", 1, 1))
+    bounds = log.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < '5/6' and high >= '3/2'")
+    opened = log.join(F.broadcast(bounds.select("run")), "run", "left_semi").where("key >= '3/2' and key < '5/6'")
+    live = merge.current(opened, KEY).groupBy("bucket").agg(F.count("*").alias("keys"), F.sum("seq").alias("seqs"))
+    return live.crossJoin(F.broadcast(bounds.agg(F.count("*").alias("runs")))).select("runs", "bucket", "keys", "seqs")
+
+
+@query("write_batches", over("version_log", body="SELECT seq * 4 + i AS sequence, seq AS batch, ['put', 'merge', 'delete', 'delete_range'][i + 1] AS op, CASE i WHEN 2 THEN key || '/old' ELSE key END AS key, CASE i WHEN 0 THEN etag WHEN 1 THEN kind WHEN 3 THEN key || '0' END AS value FROM version_log, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE i < 3 OR marker"))
+def write_batches(lake: Lake) -> DataFrame:
+    """The entries of write batches as rows, each with its own sequence number."""
+    entry = lambda op, key, value: F.struct(F.lit(op).alias("op"), key.alias("key"), value.cast("string").alias("value"))
+    k = F.col("key")
+    batch = F.array(entry("put", k, F.col("etag")), entry("merge", k, F.col("kind")), entry("delete", F.concat(k, F.lit("/old")), F.lit(None)))
+    whole = F.when(F.col("marker"), F.array_append(batch, entry("delete_range", k, F.concat(k, F.lit("0"))))).otherwise(batch)
+    rows = lake.version_log().select("seq", F.posexplode(whole).alias("i", "e"))
+    return rows.select((F.col("seq") * 4 + F.col("i")).alias("sequence"), F.col("seq").alias("batch"), "e.op", "e.key", "e.value")
