@@ -44,25 +44,33 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut
 
 def _licenses() -> str:
     flat = sorted((name, license_scan.bigrams_of(t)) for name, texts in license_scan.TEMPLATES.items() for t in texts)
-    rows = ", ".join(f"({k}, '{name}', [{', '.join(repr(b) for b in grams)}])" for k, (name, grams) in enumerate(flat))
+    texts = lambda grams: f"CAST([{', '.join(repr(b) for b in grams)}] AS VARCHAR[])"
+    rows = ", ".join(f"({k}, '{name}', {texts(grams)}, {texts(license_scan.telling(grams))})" for k, (name, grams) in enumerate(flat))
+    fuller = ", ".join(f"('{more}', '{less}')" for more, less in license_scan.FULLER.items())
     return rf"""
-WITH templates AS (SELECT * FROM (VALUES {rows}) t(k, name, g)),
+WITH templates AS (SELECT * FROM (VALUES {rows}) t(k, name, g, telling)),
+fuller AS (SELECT * FROM (VALUES {fuller}) t(more, less)),
 lower AS (SELECT doc_id, {_LOWER} AS t FROM documents),
 raw AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?:;])[	
- ]+', '' || chr(10), 'g'), chr(10))) AS u FROM lower
+
+ ]+', '' || chr(10), 'g'), chr(10))) AS u FROM lower
     UNION ALL SELECT doc_id, unnest(string_split(t, chr(10))) FROM lower UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '
 [	
- ]*
+
+ ]*
 ')) FROM lower UNION ALL SELECT doc_id, t FROM lower),
 units AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(u, '[a-z0-9]+'), ' ') AS x FROM raw),
 few AS (SELECT doc_id, string_split(x, ' ') AS w FROM units WHERE length(x) - length(replace(x, ' ', '')) >= 1),
 grams AS (SELECT doc_id, row_number() OVER () AS unit, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM few),
-met AS (SELECT doc_id, unit, k, name, 2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g)) AS dice FROM grams JOIN templates
+met AS (SELECT doc_id, unit, k, name, list_has_all(grams.g, telling) AS agrees, 2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g)) AS dice FROM grams JOIN templates
     ON len(grams.g) BETWEEN ceil({license_scan.LEAST} / (2 - {license_scan.LEAST}) * len(templates.g) - 1e-9) AND floor((2 - {license_scan.LEAST}) / {license_scan.LEAST} * len(templates.g) + 1e-9)),
-best AS (SELECT doc_id, k, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, k) AS n FROM met) WHERE n = 1 AND dice >= {license_scan.LEAST}),
-top AS (SELECT doc_id, count(*) AS n_units, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY 1),
-first AS (SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k) AS n FROM best) WHERE n = 1)
-SELECT d.doc_id, first.name AS license, top.dice, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN top USING (doc_id) LEFT JOIN first USING (doc_id)
+hits AS (SELECT * FROM met WHERE dice >= {license_scan.LEAST}),
+top AS (SELECT doc_id, count(DISTINCT unit) AS n_units, max(dice) AS dice FROM hits GROUP BY 1),
+best AS (SELECT doc_id, k, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, k) AS n FROM hits WHERE agrees) WHERE n = 1),
+held AS (SELECT DISTINCT doc_id, name FROM best b WHERE NOT EXISTS (SELECT 1 FROM best c JOIN fuller ON more = c.name AND less = b.name WHERE c.doc_id = b.doc_id)),
+names AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM held GROUP BY 1),
+first AS (SELECT doc_id, name FROM (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY dice DESC, k) AS n FROM best b JOIN held USING (doc_id, name)) WHERE n = 1)
+SELECT d.doc_id, first.name AS license, top.dice, coalesce(n_units, 0) AS n_units, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN top USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN first USING (doc_id)
 """
 
 
@@ -72,10 +80,12 @@ def _rules() -> str:
     cut = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-t AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+t AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM d),
 spots AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM spots) WHERE c > 1) GROUP BY 1),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY 1),
 base AS (SELECT t.doc_id, lang, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({cut('[#*$%&|<>]')} AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
     FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),

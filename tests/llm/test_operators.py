@@ -585,3 +585,94 @@ def test_scores_odd(odd, empty):
     assert len(got) == odd.count() and all(r["score"] < 0 for r in got)
     assert hmm_lm.score(empty, F.lit(False)).count() == 0
     assert hmm_lm.score(odd, F.lit(True)).where("train_tokens <> 0").count() == 0
+
+
+# 6, the template
+
+
+def test_equal_vectors_are_one_class(spark):
+    """Classes against plain vectors of counts over a host's pages."""
+    rng = random.Random(21)
+    pages = [(n, f"<body><ul>{''.join(f'<li><div class=i>x{rng.random()}</div>' for _ in range(rng.randrange(1, 4)))}</ul><div class=same>always here</div><div class=b><p>{prose(rng, 9)}</div></body>" + ("<footer>f</footer>" if n % 3 else "")) for n in range(9)]
+    each = spark.createDataFrame([("h", n, h) for n, h in pages], "host string, r long, html string").select("host", "html", "r").mapInArrow(html_extract._tokens, html_extract._schema((*html_extract._LONGS, "t", "n")))
+    row = html_extract.classes(each).collect()
+    assert len(row) == 1 and row[0]["all"] == 9
+    vectors: dict[int, dict[int, int]] = {}
+    for n, h in pages:
+        page = html_extract.Page(h)
+        for t in (*page.paths, *page.tags, *page.own_texts()):
+            vectors.setdefault(t, {}).setdefault(n, 0)
+            vectors[t][n] += 1
+    want: dict[tuple, set[int]] = {}
+    for t, v in vectors.items():
+        if len(v) >= html_extract.SUPPORT * 9:
+            want.setdefault(tuple(sorted(v.items())), set()).add(t)
+    got: dict[int, set[int]] = {}
+    for t, c in zip(row[0]["known"], row[0]["classes"], strict=True):
+        got.setdefault(c, set()).add(t)
+    assert len(want) > 3 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_classes_are_ordered_and_nested():
+    plain = {c: (order, crossed, parent) for c, order, crossed, parent in html_extract.arranged([(0, 1, 10), (9, 1, 11), (1, 2, 20), (2, 2, 21), (3, 2, 20), (4, 2, 21), (5, 3, 30), (12, 3, 31)])}
+    assert plain[2][0] and plain[2][1:] == (False, 1)  # repeats inside the gap of 1
+    assert plain[1][1:] == (False, 0) and plain[3][1:] == (False, 1) or plain[1][1] != plain[3][1]  # 1 and 3 cross: one goes
+    assert plain[1][1] + plain[3][1] == 1
+    assert html_extract.arranged([(0, 1, 10), (1, 1, 11), (2, 1, 11), (3, 1, 10)])[0][1] == 0  # no one order
+    a, b = (html_extract.arranged(e)[0][1] for e in ([(0, 1, 10), (1, 1, 11)], [(0, 1, 11), (1, 1, 10)]))
+    assert a != b
+
+
+def test_template_decides_where_pages_mislead(spark):
+    """Boxes without any mark, in the same place on all pages: on some the side box is longer than the story."""
+    rng = random.Random(5)
+    story = [prose(rng, 12 if n % 3 == 0 else 120) for n in range(12)]
+    side = [prose(rng, 40) if n % 3 == 0 else "go" for n in range(12)]
+    pages = [f"<div class=q>{side[n]}</div><div class=r><p>{story[n]}</p></div>" for n in range(12)]
+    alone = [html_extract.Page(p) for p in pages]
+    assert sum(p.text(p.chosen(None, None)) != s for p, s in zip(alone, story, strict=True)) == 4
+    got = texts_of(spark, pages)
+    assert [got[n] for n in range(12)] == story
+
+
+def test_extraction_odd(spark):
+    text = lambda html: (p := html_extract.Page(html)).text(p.chosen(None, None))
+    assert text("<article>one<svg/>two<math x='1' />three<svg><path/>no</svg></article>") == "onetwothree"
+    assert text('<article><div class="entry-header"><h1>Title</h1></div><p class="text-notice">kept</p><div class="notice">no</div>body</article>') == "Title kept body"
+    n = 10_000
+    assert text("<div class=content>" * n + "deep" + "</div>" * n) == "deep"
+    assert text("<div class=content><p>a" * n) == " ".join(["a"] * n)
+    long_page = "<article>" + "<p>word</p>" * 100_000 + "</article>"
+    rows = [("a", "http://h.example/1", long_page, "x", 1), (None, None, None, None, None), ("b", "no address", "<p>x", "y", 2), ("a", "http://h.example/1", long_page, "x", 1)]
+    odd_pages = spark.createDataFrame(rows, "page_id string, url string, html string, text string, host long")
+    got = sorted(map(tuple, html_extract.extract(odd_pages).select("page_id", "n_chars").collect()), key=str)
+    assert got == [("a", 499_999), ("a", 499_999), ("b", 1), (None, 0)]
+
+
+# 2, names
+
+
+def test_licenses_are_told_apart(spark):
+    """Versions and families that differ by a few words, each with its own name; other versions have none."""
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = {
+        "GPL-2.0-or-later": gpl.format(2),
+        "GPL-3.0-or-later": gpl.format(3),
+        "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "LGPL-3.0": "licensed under the gnu lesser general public license version 3",
+        "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
+        "AGPL-3.0-or-later": gpl.format(3).replace("GNU General", "GNU Affero General"),
+        "MPL-1.1": "Licensed under the Mozilla Public License, version 1.1.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+        "CC-BY-4.0": "Licensed under CC BY 4.0.",
+        "BSD-2-Clause": "Copyright A\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Keep this.",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        None: gpl.format(7),
+    }
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert got[i]["license"] == name and got[i]["licenses"] == ([name] if name else []), (name, got[i])
+    assert got[len(texts) - 1]["dice"] > 0.8 and got[len(texts) - 1]["n_units"] > 0
