@@ -1,27 +1,40 @@
 """Document quality by hierarchical empirical Bayes: a classifier's evidence for the text, joined with what its host
 and its path on the host are known for.
 
-Evidence: shape features of the text (shares of symbols, capitals, digits, odd words; repetition; word length; size)
-fall into bins; each bin's smoothed log odds are counted over all labelled rows, and a text's evidence is their sum,
-scaled by ``weight`` as features overlap. Hosts: the global rate of good rows and a prior strength by the method of
-moments over hosts shrink each host's rate; paths are shrunk the same way towards their host. Hosts and paths without
+Evidence comes from two classifiers counted over all labelled rows. Words: the distinct words and pairs of neighbouring
+words of a text fall by hash into GRAMS classes; the rate of good rows among those that hold a class, shrunk towards
+the rate of all, gives the class's log odds, so that a class met rarely says little; their mean is the text's word
+score, a labelled row's without its own part in the counts. Shape: features of the text (shares of symbols, capitals,
+digits, odd words; repetition; word length; size). All features and the word score fall into bins, each bin's smoothed
+log odds are counted over all labelled rows, and a text's evidence is their sum, scaled by ``weight`` as features
+overlap. Hosts: the global rate of good rows and a prior strength by the method
+of moments over hosts shrink each host's rate; paths are shrunk the same way towards their host. Hosts and paths without
 labelled rows get the rate above them. The score is the posterior probability with the path's rate as the prior.
 
-All tables between are sums over groups; hosts and paths are joined as tables of one row each.
+A text's classes are kept as two bytes each; counts and rates are sums over groups, combined map-side; hosts and paths
+are joined as tables of one row each.
 
-Defined results: null texts are empty texts; a null host or path is a group of its own; a row with several labels
-counts each time in the sums; a label without its row counts nowhere; without labels, or with one class only, the
-score follows the smoothed rates. Repeated rows are scored one by one.
+Defined results: null texts are empty texts, without words and with the shape of nothing; a null host or path is a
+group of its own; a row with several labels counts each time in the sums; a label without its row counts nowhere;
+without labels, or with one class only, the score follows the smoothed rates; a score of exactly one half is good. A
+very long text is read whole. Repeated rows are scored one by one; an empty table gives an empty result; only the named
+columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import Words, mix, pieces, schema_of, small_batches, staged, table_of
+
+GRAMS = 1 << 16  # classes of words and pairs
+GRAM_STRENGTH = 10.0  # labelled rows that the rate of all rows counts for beside those of a class
+_WORDS = table_of()
 
 #: Upper ends of the bins of each feature; values above fall into one more bin.
 EDGES = {
@@ -34,12 +47,14 @@ EDGES = {
     "words": [5.0, 10.0, 50.0, 200.0, 1000.0],
     "lines": [0.3, 0.6, 0.9, 0.999],
     "bars": [0.0, 0.02, 0.1],
+    "word_score": [-2.0, -1.0, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0],
 }
 FEATURES = list(EDGES)
+SHAPES = FEATURES[:-1]
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """(id, host, path, bins): the bin of each feature."""
+    """(id, host, path, bins, text): the bin of each feature."""
     white = " \t\n\x0b\x0c\r"
     base = docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select("id", "host", "path", "text", F.filter(F.split("text", "[\\x09-\\x0D\\x20]+"), lambda w: w != "").alias("ws"), F.mask("text", F.lit("A"), F.lit("a"), F.lit("0"), F.lit(None)).alias("shape"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(white)) != "").alias("ls"))
@@ -59,7 +74,54 @@ def features(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Co
         "bars": left("text", "[|]") / F.greatest(n, F.lit(1)),
     }
     bin_of = lambda v, edges: F.coalesce(*[F.when(v <= e, F.lit(i)) for i, e in enumerate(edges)], F.lit(len(edges)))
-    return base.select("id", "host", "path", F.array(*[bin_of(values[f], EDGES[f]) for f in FEATURES]).alias("bins"))
+    return base.select("id", "host", "path", F.array(*[bin_of(values[f], EDGES[f]) for f in SHAPES]).alias("bins"), "text")
+
+
+def _grams(batches):
+    """Each text's classes of words and of pairs of neighbours, distinct and ascending, as 16-bit numbers."""
+    for batch in batches:
+        out = []
+        for _, _, data, bounds in pieces(batch.column(batch.num_columns - 1)):
+            words = Words(data, bounds, _WORDS)
+            h = words.hashes
+            pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) else h
+            for first, n in zip(words.first.tolist(), words.count.tolist(), strict=True):
+                both = np.concatenate([h[first : first + n], pair[first : first + max(0, n - 1)]])
+                out.append(np.unique((both >> np.uint64(48)).astype(np.uint16)).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "grams"])
+
+
+def _gram_counts(batches):
+    """Good and bad labelled rows that hold each class, summed over a partition."""
+    total = np.zeros((2, GRAMS), np.int64)
+    for batch in batches:
+        for y, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[y, np.frombuffer(grams, np.uint16)] += 1
+    some = np.flatnonzero(total.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1, some]), pa.array(total[0, some])], ["g", "good", "bad"])
+
+
+def _word_bins(shared, labelled: bool):
+    """The bin of each row's word score; a labelled row is scored by the counts of the others."""
+
+    def each(batches):
+        present, base = shared.value
+        edges, prior = np.array(EDGES["word_score"]), math.log(base / (1 - base))
+        for batch in batches:
+            grams = batch.column(batch.num_columns - 1).to_pylist()
+            marks = batch.column(0).to_pylist() if labelled else [None] * len(grams)
+            bins = []
+            for y, x in zip(marks, grams, strict=True):
+                g = np.frombuffer(x, np.uint16)
+                good, met = present[1, g], present[0, g] + present[1, g]
+                if y is not None:
+                    good, met = good - y, met - 1
+                rate = (good + GRAM_STRENGTH * base) / (met + GRAM_STRENGTH)
+                score = float((np.log(rate / (1 - rate)) - prior).mean()) if len(g) else 0.0
+                bins.append(int(np.searchsorted(edges, score)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bins, pa.int32())], [*batch.schema.names[:-1], "word_bin"])
+
+    return each
 
 
 def _shrunk(groups: DataFrame, prior: Column, strength: Column) -> Column:
@@ -79,11 +141,22 @@ def strength_of(groups: DataFrame, rate: Column | str) -> float:
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", weight: float = 0.7) -> DataFrame:
     """One row a document: id, evidence (log odds of the text alone), host_rate, path_rate, score (0 to 1), good (score >= 0.5)."""
-    shaped = staged(features(docs, id_col, text_col, host, path), "shapes")
+    spark = docs.sparkSession
+    small_batches(spark, 2000)
+    read = features(docs, id_col, text_col, host, path)
+    kinds = {c: read.schema[c].dataType for c in ("id", "host", "path", "bins")}
+    shaped = staged(read.mapInArrow(_grams, schema_of(**kinds, grams="binary")), "shapes")
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     known = staged(shaped.join(marked, "id"), "known")
+    # good and bad rows that hold each class: as many numbers as classes
+    held = known.select("y", "grams").mapInArrow(_gram_counts, "g long, good long, bad long").groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    present = np.zeros((2, GRAMS))
+    present[:, held["g"].to_numpy()] = held["bad"].to_numpy(), held["good"].to_numpy()
+    sums = known.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("good"), F.count("*").alias("n")).first()
+    grams = spark.sparkContext.broadcast((present, (sums["good"] + 1) / (sums["n"] + 2)))
     # each bin's log odds: as many rows as there are bins
-    tall = known.select("y", F.posexplode("bins").alias("f", "b"))
+    scored = known.select("y", "bins", "grams").mapInArrow(_word_bins(grams, True), "y int, bins array<int>, word_bin int")
+    tall = scored.select("y", F.posexplode(F.array_append("bins", F.col("word_bin"))).alias("f", "b"))
     counts = {(r["f"], r["b"]): (r["good"], r["n"] - r["good"]) for r in tall.groupBy("f", "b").agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()}
     good = sum(g for (f, _), (g, _) in counts.items() if f == 0)
     bad = sum(b for (f, _), (_, b) in counts.items() if f == 0)
@@ -94,7 +167,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
         return weight * (math.log((g + 0.5) / (good + 0.5 * size)) - math.log((x + 0.5) / (bad + 0.5 * size)))
 
     tables = [F.array(*[F.lit(log_odds(f, b)) for b in range(len(EDGES[name]) + 1)]) for f, name in enumerate(FEATURES)]
-    evidence = sum((F.get(t, F.get("bins", f)) for f, t in enumerate(tables)), F.lit(0.0))
+    evidence = sum((F.get(t, F.get("bins", f)) for f, t in enumerate(tables[:-1])), F.get(tables[-1], F.col("word_bin")))
     rate = (good + 1) / (good + bad + 2)
     paths = staged(known.groupBy("host", "path").agg(F.sum("y").alias("good"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
@@ -102,7 +175,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     hosts = staged(hosts, "hosts").withColumnRenamed("host", "h")
     placed = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
     paths = placed.select(F.col("host").alias("ph"), F.col("path").alias("pp"), _shrunk(placed, F.col("host_rate"), F.lit(strength_of(placed, "host_rate"))).alias("path_rate"))
-    out = shaped.select("id", "host", "path", evidence.alias("evidence"))
+    worded = shaped.select("id", "host", "path", "bins", "grams").mapInArrow(_word_bins(grams, False), schema_of(**kinds, word_bin="int"))
+    out = worded.select("id", "host", "path", evidence.alias("evidence"))
     out = out.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").join(paths, F.col("host").eqNullSafe(F.col("ph")) & F.col("path").eqNullSafe(F.col("pp")), "left")
     host_rate = F.coalesce("host_rate", F.lit(rate))
     path_rate = F.coalesce("path_rate", host_rate)

@@ -676,3 +676,77 @@ def test_licenses_are_told_apart(spark):
     for i, name in enumerate(texts):
         assert got[i]["license"] == name and got[i]["licenses"] == ([name] if name else []), (name, got[i])
     assert got[len(texts) - 1]["dice"] > 0.8 and got[len(texts) - 1]["n_units"] > 0
+
+
+# 7, in full
+
+
+def test_quality_against_plain(spark):
+    """Counts, word scores, bins, shrunk rates and posteriors by plain loops over the labelled rows."""
+    q = quality_classifier
+    rng = random.Random(31)
+    good, bad = [f"good{i}" for i in range(30)], [f"BAD{i}#" for i in range(30)]
+    docs = []
+    for i in range(90):
+        y = int(i % 4 != 0)
+        docs.append((i, " ".join(rng.choice((good if y else bad) + ["and", "the"]) for _ in range(rng.randrange(0, 40))), f"h{i % 5}", f"p{i % 3}", y))
+    frame = spark.createDataFrame([d[:4] for d in docs], "doc_id long, text string, host string, path string")
+    labels = [(i, y) for i, _, _, _, y in docs if i % 3 != 2] + [(0, 1), (4, None), (999, 1)]
+    got = {r["doc_id"]: r for r in q.score(frame.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()}
+    shapes = {r["id"]: r["bins"] for r in q.features(frame, "doc_id", "text", F.col("host"), F.col("path")).collect()}
+    batch = next(iter(q._grams([pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], ["id", "text"])])))
+    grams = {i: [int.from_bytes(x[k : k + 2], "little") for k in range(0, len(x), 2)] for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+    assert all(len(set(grams[d[0]])) == len(grams[d[0]]) <= 2 * len(d[1].split()) for d in docs)
+    known = [(i, y) for i, y in labels if y is not None and i < 90]
+    held = {0: Counter(), 1: Counter()}
+    for i, y in known:
+        held[y].update(grams[i])
+    n_good, n = sum(y for _, y in known), len(known)
+    base = (n_good + 1) / (n + 2)
+    logit = lambda p: math.log(p / (1 - p))
+
+    def word_bin(i, y=None):
+        odds = []
+        for g in grams[i]:
+            up, all_ = held[1][g], held[0][g] + held[1][g]
+            if y is not None:
+                up, all_ = up - y, all_ - 1
+            odds.append(logit((up + q.GRAM_STRENGTH * base) / (all_ + q.GRAM_STRENGTH)) - logit(base))
+        score = sum(odds) / len(odds) if odds else 0.0
+        return sum(score > e for e in q.EDGES["word_score"])
+
+    counts = Counter()
+    for i, y in known:
+        for f, b in enumerate([*shapes[i], word_bin(i, y)]):
+            counts[f, b, y] += 1
+
+    def evidence(i):
+        total = 0.0
+        for f, b in enumerate([*shapes[i], word_bin(i)]):
+            size = len(q.EDGES[q.FEATURES[f]]) + 1
+            total += 0.7 * (math.log((counts[f, b, 1] + 0.5) / (n_good + 0.5 * size)) - math.log((counts[f, b, 0] + 0.5) / (n - n_good + 0.5 * size)))
+        return total
+
+    def strength(groups, rate):
+        spread = chance = most = 0.0
+        for key, (g, m) in groups.items():
+            if m > 1:
+                p = min(max(rate(key), 1e-3), 1 - 1e-3)
+                spread, chance, most = spread + m * (g / m - p) ** 2, chance + p * (1 - p), most + m * p * (1 - p)
+        if not most:
+            return 10.0
+        between = max(0.0, (spread - chance) / max(1e-9, most - chance)) if most > chance else 0.0
+        return min(10_000.0, max(1.0, (1 - between) / max(between, 1e-4)))
+
+    hosts, paths = {}, {}
+    for i, y in known:
+        for groups, key in ((hosts, docs[i][2]), (paths, docs[i][2:4])):
+            g, m = groups.get(key, (0, 0))
+            groups[key] = (g + y, m + 1)
+    s = strength(hosts, lambda _: base)
+    host_rate = {h: (g + s * base) / (m + s) for h, (g, m) in hosts.items()}
+    s = strength(paths, lambda key: host_rate[key[0]])
+    path_rate = {k: (g + s * host_rate[k[0]]) / (m + s) for k, (g, m) in paths.items()}
+    for i, _, h, p, _ in docs:
+        assert got[i]["evidence"] == pytest.approx(evidence(i)) and got[i]["host_rate"] == pytest.approx(host_rate[h]) and got[i]["path_rate"] == pytest.approx(path_rate.get((h, p), host_rate[h]))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-evidence(i) - logit(path_rate.get((h, p), host_rate[h])))))
