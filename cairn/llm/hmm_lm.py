@@ -13,8 +13,10 @@ The ``common`` most frequent words are broadcast with their counts (bounded by t
 counts in a join by word hash.
 
 Defined results: a null or blank text is its end alone; without training texts all shares are those of unseen words
-and the states are alike; repeated rows are scored one by one; only id and text are read. Words are told apart by
-64-bit hashes.
+and the states are alike; of words equally frequent those of the smaller hash have symbols of their own; a very long
+text is one line, held whole by its task; repeated rows are scored one by one; an empty table gives an empty result;
+only id, text and ``held`` are read, so other columns may have any names. Words are told apart by 64-bit hashes. Scores
+are a function of the rows and not of how they are dealt out, but for the rounding of sums.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Words, pieces, small_batches, staged, table_of
+from ._shared import Words, pieces, small_batches, staged, table_of, type_of
 
 STATES = 8
 VOCABULARY = 4000
@@ -348,7 +350,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     counted = source.where(~F.col("held")).select("text").mapInArrow(_count, "h long, k int, n long")
     words = staged(counted.groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n")), "words")
     texts = source.where(~F.col("held")).count()
@@ -370,7 +372,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     class_floor = class_n + ALPHA * (class_v + 1)
     inside = np.where(own, 0.0, np.log10((n + ALPHA) / class_floor[k]))
     shared = spark.sparkContext.broadcast(Codes(h.view(np.uint64), symbol, base_of(n), inside, vocabulary))
-    schema = "id long, held boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<long>, times array<int>, kinds array<int>"
+    schema = f"id {type_of(docs, id_col)}, held boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<long>, times array<int>, kinds array<int>"
     encoded = staged(source.mapInArrow(_encode(shared), schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
     unigram = np.zeros(vocabulary + CLASSES + 1)
     unigram[: own.sum()] = n[own]

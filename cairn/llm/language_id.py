@@ -19,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import schema_of, small_batches, whole_row
@@ -138,11 +138,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
     totals = drawn_rows.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # the most frequent words of each language: an aggregate of bounded size
-    tops = totals.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "word")))), 1, max_words).alias("top"))
+    # the most frequent words of each language: Spark keeps no more of a group than the limit asks for, on either side of the shuffle
+    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("word"))))
     tables = {g: Counter() for g in langs}
-    for r in tops.collect():
-        tables[r["lang"]] = Counter({x["word"]: x["n"] for x in r["top"]})
+    for r in ranked.where(F.col("rank") <= max_words).select("lang", "word", "n").toLocalIterator():
+        tables[r["lang"]][r["word"]] = r["n"]
     return _build(langs, [tables[g] for g in langs], max_grams)
 
 

@@ -140,7 +140,7 @@ def _sets(width: int, sieve):
                 items, at = shingles(Words(data, bounds, _WORDS), width)
                 halves = (items >> np.uint64(32)).astype(np.uint32)
                 columns = [pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * k).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x, k in ((items, 8), (halves, 4))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], ["id", "items", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(at)), *columns], ["id", "n", "items", "halves"])
 
     return each
 
@@ -243,15 +243,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     features = staged(source.mapInArrow(_features(width), schema_of(id=kind, n="long", f1="long", f2="long", bands="array<long>")), "features")
     known = features.where("id is not null and n > 0")
     classes = staged(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
-    banded = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("band"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"))
-    # buckets of two or more; of those with the same members, one stands for all
-    parts = banded.groupBy("band", "salt").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
-    buckets = parts.groupBy("band").agg(F.sum("members").alias("members"), F.sum("sign").alias("sign"), F.collect_list("salt").alias("salts")).where("members > 1")
+    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    # buckets of two or more, with the salts that their members have as bits; of those with the same members, one stands for all
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("sign"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("salts")).where("members > 1")
     buckets = staged(buckets.groupBy("members", "sign").agg(F.min_by(F.struct("band", "salts"), "band").alias("b"), F.count("*").alias("same")).select("b.*", "members", "same"), "buckets")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("shiftright", F.col("salts"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
 
     def of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
-        """Rows by band and salt with what is known of their band, which goes to each part of it that has rows."""
-        return rows.join(facts.join(buckets.select("band", F.explode("salts").alias("salt")), "band"), ["band", "salt"])
+        """Rows with what is known of their band, which goes to each part of the band, by salt, that has rows."""
+        spread = facts.join(buckets.select("band", F.explode(bits).alias("salt")), "band")
+        return rows.withColumn("salt", salt).join(spread, ["band", "salt"]).drop("salt")
 
     crowd = staged(of_bucket(banded, buckets.select("band", "members", "same")), "crowd")
     central = crowd.groupBy("id").agg(F.sum(F.col("members") * F.col("same")).alias("score"))
@@ -260,18 +262,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = of_bucket(crowd, leaders)
     pairs = stars.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     placed_rows = source.where("id is not null").select("id", "text", _place(F.col("id")).alias("at"))
-    sets = staged(placed_rows.mapInArrow(_sets(width, _sieve(crowd)), schema_of(id=kind, items="binary", halves="binary")), "sets")
+    sets = staged(placed_rows.mapInArrow(_sets(width, _sieve(crowd)), schema_of(id=kind, n="long", items="binary", halves="binary")), "sets")
     links = _linked(pairs, sets, percent)
     comps = components(links)
     # what is open: a bucket of three or more with members of several components
     placed = stars.where("members > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     lead_comp = placed.where("id = lead").select("band", F.col("comp").alias("main"))
-    placed = staged(of_bucket(placed, lead_comp).select("band", "salt", "id", "n", "comp", "main"), "placed")
+    placed = staged(of_bucket(placed, lead_comp).select("band", "id", "comp", "main"), "placed")
     other = F.col("comp") != F.col("main")
-    open_ = placed.groupBy("band").agg(F.count("*").alias("all"), F.count_if(other).alias("minor"), F.sum("n").alias("all_n"), F.sum(F.when(other, F.col("n"))).alias("minor_n")).where("minor > 0")
     # alone against the leader only: nothing is left to compare
-    lots = lambda members, items: F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
-    open_ = open_.where("all > 2").select("band", lots("all", "all_n").alias("na"), lots("minor", "minor_n").alias("nm"))
+    left = placed.groupBy("band").agg(F.count("*").alias("all"), F.count_if(other).alias("minor")).where("minor > 0 and all > 2").select("band")
+    placed = staged(of_bucket(placed, left).join(sets.select("id", "n"), "id"), "left")
+    lots = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n"))) / BLOCK_ITEMS)).cast("int")
+    open_ = placed.groupBy("band").agg(lots(F.lit(True)).alias("na"), lots(other).alias("nm"))
     spread = of_bucket(placed, open_).join(sets.select(F.col("id").alias("sid"), "halves"), F.col("id") == F.col("sid")).drop("sid")
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     minor = spread.where("comp <> main").select("band", slot("nm").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "id", "comp", "halves").toDF("x_band", "x_i", "x_j", "x_id", "x_comp", "x_halves")

@@ -5,10 +5,13 @@ of keys and the intervals nest. Each partition is sorted by key and swept once b
 the hosts whose interval is open. A rule fits if its host is on the stack and the path starts with its path; the
 longest rule (host and path together) wins, then the longer host; of one rule given twice, block.
 
-Rules are broadcast in blocks of at most ``max_rules``; the best rule so far is carried from block to block.
+Rules are broadcast in blocks of at most ``max_rules`` and about BLOCK_BYTES of text; the best rule so far is carried
+from block to block. A page's url is read where it lies, so a host that holds a third of all pages is spread as they are.
 
 Defined results: a url that is null or has no ``://`` has empty host and path and meets no rule unless one has an
-empty host; without a rule the verdict is ``default``. Repeated rows are judged one by one.
+empty host; without a rule the verdict is ``default``. A rule without host, path or verdict is none. Very long urls are
+read whole, and rules as long are compared by their lengths. Repeated rows are judged one by one; an empty table gives
+an empty result, no rules leave every page to ``default``; only id and url are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, staged
+from ._shared import small_batches, staged, type_of
 
 MAX_RULES = 500_000
+BLOCK_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,7 +92,7 @@ def _judge(shared):
                         found = paths.get(path[:n]) if n <= len(path) else None
                         if found:
                             host_size = len(found[0]) - n
-                            rank = len(found[0]) * 100_000 + host_size
+                            rank = (len(found[0]) << 32) + host_size
                             if rank > best[i]:
                                 best[i], (rules[i], verdicts[i]) = rank, found
                             break
@@ -108,14 +112,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     spark = pages.sparkSession
     small_batches(spark, 5000)
     url = F.col(url_col)
-    at = pages.select(F.col(id_col).cast("long").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    at = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     at = at.select("*", reversed_key(F.col("host")).alias("key")).sortWithinPartitions("key")
     at = at.select("*", F.lit(-1).cast("long").alias("best"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocks = max(1, math.ceil(rules.count() / max_rules))
+    rules = rules.select(lower_ascii(F.col("host")).alias("host"), "path", "verdict").where("host is not null and path is not null and verdict is not null")
+    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["n"] / max_rules), math.ceil(size["bytes"] / BLOCK_BYTES))
     for b in range(blocks):
-        rows = [tuple(r) for r in rules.select(lower_ascii(F.col("host")), "path", "verdict").where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == b).collect()]
+        rows = [tuple(r) for r in rules.where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(sorted_rules(rows))
         if b:  # one block's rules in memory at a time
             at = staged(at, "urls").sortWithinPartitions("key")
-        at = at.mapInArrow(_judge(shared), "id long, host string, path string, key string, best long, rule string, verdict string")
+        at = at.mapInArrow(_judge(shared), f"id {type_of(pages, id_col)}, host string, path string, key string, best long, rule string, verdict string")
     return at.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")

@@ -750,3 +750,81 @@ def test_quality_against_plain(spark):
     for i, _, h, p, _ in docs:
         assert got[i]["evidence"] == pytest.approx(evidence(i)) and got[i]["host_rate"] == pytest.approx(host_rate[h]) and got[i]["path_rate"] == pytest.approx(path_rate.get((h, p), host_rate[h]))
         assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-evidence(i) - logit(path_rate.get((h, p), host_rate[h])))))
+
+
+# of any layout and any ids
+
+
+def test_scores_dont_hang_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    one, other = ({r["doc_id"]: r["score"] for r in hmm_lm.score(d, held).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == other.keys() and all(other[i] == pytest.approx(x, rel=1e-9) for i, x in one.items())
+
+
+def test_ids_of_text(spark):
+    same = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([("b", same, "en"), ("a", same, "en"), (None, same, "en"), ("c", "und der die das nicht ein wort", "de"), ("c", None, None)], "doc_id string, text string, lang string")
+    got = {(r["doc_id"], r["n_shingles"]): r for r in near_dedup.near_duplicates(docs).collect()}
+    assert got["b", 6]["component_id"] == "a" and not got["b", 6]["kept"] and got["a", 6]["kept"] and got[None, 6]["kept"]
+    found = decontaminate.contamination(docs, docs.selectExpr("doc_id as item_id", "text"), block_bytes=5).collect()
+    assert len(found) == 5 and {tuple(r["items"]) for r in found if r["doc_id"] in ("a", "b", None)} == {("a", "b")}
+    assert language_id.predict(docs, language_id.fit(docs)).count() == hmm_lm.score(docs, F.lit(False)).count() == packing.pack(docs).count() == 5
+    rules = spark.createDataFrame([("x.org", "/", "block"), (None, "/", "block"), ("x.org", None, "allow"), ("x.org", "/y", None)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([("p", "http://a.x.org/y"), ("q", None), ("r", "http://x.org/" + "y" * 200_000)], "page_id string, url string").withColumn("host", F.lit("mine"))
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()) == [("p", "x.org/", "block"), ("q", None, "allow"), ("r", "x.org/", "block")]
+
+
+def test_blocks_of_items_agree(spark):
+    """Rows with a shared id or none are judged each for itself, with one block of items or many."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (1, "none of it"), (None, "x a b c d e f g h"), (None, "q")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(("a b c d e f g h", "b c d e f g h i", "q", "z z z"))], "item_id long, text string")
+    results = [sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(docs, items, block_bytes=b).collect()), key=str) for b in (1 << 20, 8)]
+    assert results[0] == results[1] and len(results[0]) == 4 and (1, 9, 9, (0, 1)) in results[0]
+
+
+def test_language_backoff_against_plain():
+    """Scores word by word: known words, else the longest known n-grams, shorter ones inside those that are unknown."""
+    rng = random.Random(12)
+    tables = [Counter({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 9) for _ in range(60)}) for _ in range(3)]
+    model = language_id._build(["x", "y", "z"], tables, 40)
+    words = sorted(set().union(*tables))
+
+    def log(t, keep, table):
+        return math.log((table[t] + 0.5) / (sum(table.values()) + 0.5 * (len(keep) + 1)))
+
+    cut = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    by_length = {}
+    for n in range(1, language_id.LONGEST + 1):
+        counted = []
+        for t in tables:
+            c = Counter()
+            for w, k in t.items():
+                for g in cut(w, n):
+                    c[g] += k
+            counted.append(Counter(dict(c.most_common(40))))
+        by_length[n] = (counted, sorted(set().union(*counted)))
+
+    def plain(w):
+        if w in words:
+            return [log(w, words, t) for t in tables]
+        found, todo = [], cut(w, min(language_id.LONGEST, len(w) + 2))
+        while todo:
+            shorter = []
+            for g in dict.fromkeys(todo):
+                counted, keep = by_length[len(g)]
+                if g in keep:
+                    found.append([log(g, keep, c) for c in counted])
+                elif len(g) > 1:
+                    shorter += [g[:-1], g[1:]]
+            todo = shorter
+        return [sum(x) / max(1, len(found)) for x in zip(*found, strict=True)] if found else [0.0] * 3
+
+    for _ in range(40):
+        text = [rng.choice(words) if rng.random() < 0.5 else "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 12))]
+        sums = [sum(x) for x in zip(*map(plain, text), strict=True)]
+        best = sums.index(max(sums))
+        share = 1 / sum(math.exp((s - sums[best]) / math.sqrt(len(text))) for s in sums)
+        lang, score = model.predict(" ".join(text))
+        assert score == pytest.approx(share) and (lang == "xyz"[best] or abs(sums["xyz".index(lang)] - sums[best]) < 1e-9)
+    assert model.predict("½ ² Ⅷ 12") == ("und", 0.0) and language_id.words_of("été हिन्दी ½") == ["été", "हिन्दी"]
