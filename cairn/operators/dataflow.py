@@ -49,6 +49,19 @@ def monotone_clock(log: DataFrame, keys: list[str], order: str, at: str) -> Data
     return met.select(*log.columns, (F.col("_from") + F.col("_i") + F.greatest(F.col("_run") - F.col("_from"), "_carry")).alias("tick"))
 
 
+def running_max(log: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """The greatest value up to each entry of its log, dealt to stretches like ``monotone_clock``."""
+    cut = log.withColumn("_v", value).withColumn("_part", F.floor(F.col(order) / STRETCH))
+    local = cut.withColumn("_run", F.max("_v").over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    tops = cut.groupBy(*keys, "_part").agg(F.max("_v").alias("_top"))
+    carry = F.max("_top").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.withColumn("_carry", carry).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_carry")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(tops, same).select(*log.columns, F.greatest("_run", "_carry").alias(name))
+
+
 def first_of_each(log: DataFrame, identity: list[str], order: str) -> DataFrame:
     """The first of all entries with one identity: repeats are answered, not applied again."""
     rest = [c for c in log.columns if c not in identity]

@@ -28,10 +28,13 @@ def merge_runs(runs: list[DataFrame], keys: list[str], order: str = "seq", tombs
 def clear_ranges(rows: DataFrame, tombstones: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
     """Rows not cleared by any range tombstone (begin, end, at): older than it with begin <= key < end.
 
-    Tombstones are few beside rows; Spark broadcasts them while they are small, else it is a nested loop per partition.
+    The key order is cut at some of the tombstones' begins; a tombstone goes to each part that it reaches, so rows meet
+    only those of their part, by an equality.
     """
-    hit = (F.col(key) >= F.col("begin")) & (F.col(key) < F.col("end")) & (F.col(order) < F.col("at"))
-    return rows.join(tombstones, hit, "left_anti")
+    marks = cuts(tombstones, "begin")
+    reached = tombstones.select("begin", "end", "at", F.explode(F.sequence(_part(F.col("begin"), marks), _part(F.col("end"), marks))).alias("_t")).where("begin < end")
+    hit = (F.col("_p") == F.col("_t")) & (F.col(key) >= F.col("begin")) & (F.col(key) < F.col("end")) & (F.col(order) < F.col("at"))
+    return rows.withColumn("_p", _part(F.col(key), marks)).join(reached, hit, "left_anti").drop("_p")
 
 
 def fold_operands(rows: DataFrame, keys: list[str], order: str, operand: Column, separator: str = ",") -> DataFrame:
@@ -59,6 +62,11 @@ def cuts(starts: DataFrame, column: str, count: int = MARKS) -> list[str]:
     return sorted({drawn[i * len(drawn) // count] for i in range(1, count)}) if len(drawn) >= count else drawn
 
 
+def _part(key: Column, marks: list[str]) -> Column:
+    """The part of the key order that a key lies in: how many marks are at or below it."""
+    return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= key)) if marks else F.lit(0)
+
+
 def ordered_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[str] | None = None, above: bool = False) -> DataFrame:
     """Each row with the greatest start at or below its key, or with ``above`` the least at or above it; null where there is none.
 
@@ -67,7 +75,7 @@ def ordered_join(rows: DataFrame, starts: DataFrame, key: str = "key", by: list[
     """
     by = by or []
     marks = cuts(starts, "start")
-    part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(key))) if marks else F.lit(0)
+    part = _part(F.col(key), marks)
     known = starts.select(*by, F.col("start").alias(key), F.col("start").alias("_s")).distinct()
     both = rows.withColumn("_s", F.lit(None).cast("string")).unionByName(known, allowMissingColumns=True).withColumn("_part", part)
     order = [F.desc(key) if above else F.asc(key), F.col("_s").isNull()]

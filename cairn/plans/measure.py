@@ -222,9 +222,6 @@ def session_expiry(lake: Lake) -> DataFrame:
 @query("late_writes", over("version_log", "h AS (SELECT bucket, seq, created, max(created) OVER (PARTITION BY bucket ORDER BY seq ROWS UNBOUNDED PRECEDING) AS now FROM version_log)", body=f"SELECT bucket, count(*) FILTER (created + (seq % 5) * CAST(3600000000 AS BIGINT) - CAST(7200000000 AS BIGINT) < now - 3600000000) AS expired, count(*) AS writes FROM h GROUP BY bucket"))
 def late_writes(lake: Lake) -> DataFrame:
     """Writes whose handover deadline has passed on their range's clock."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    h = lake.version_log().select("bucket", "seq", "created", F.max("created").over(w).alias("now"))
+    h = dataflow.running_max(lake.version_log().select("bucket", "seq", "created"), ["bucket"], "seq", F.col("created"), "now")
     deadline = F.col("created") + (F.col("seq") % 5) * 3_600_000_000 - 7_200_000_000
     return h.groupBy("bucket").agg(F.count_if(deadline < F.col("now") - 3_600_000_000).alias("expired"), F.count("*").alias("writes"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators import dataflow
+
 
 def file_outcomes(log: DataFrame) -> DataFrame:
     """log: range, file, seq, at, op (write or delete), content, deadline. Adds outcome: written, conflict, expired or deleted."""
-    of_range = Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     of_file = Window.partitionBy("range", "file").orderBy("seq")
-    now = log.withColumn("now", F.max("at").over(of_range))
+    now = dataflow.running_max(log, ["range"], "seq", F.col("at"), "now")
     deletes = F.sum((F.col("op") == "delete").cast("int")).over(of_file.rowsBetween(Window.unboundedPreceding, 0))
     epochs = now.withColumns({"epoch": deletes, "timely": (F.col("op") == "write") & (F.col("now") <= F.col("deadline"))})
     before = Window.partitionBy("range", "file", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
