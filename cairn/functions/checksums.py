@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -111,6 +112,22 @@ def joined(kind: str, first: Column, second: Column, size: Column) -> Column:
     return of(first, second, size)
 
 
+def fed(parts: Column) -> Column:
+    """The SHA-256 of an array of bodies, fed to one hasher piece by piece."""
+
+    @F.pandas_udf("string")
+    def of(groups: pd.Series) -> pd.Series:
+        def one(group) -> str:
+            hasher = hashlib.sha256()
+            for body in group:
+                hasher.update(body.encode())
+            return hasher.hexdigest()
+
+        return groups.map(one)
+
+    return of(parts)
+
+
 def full_object(kind: str, parts: Column) -> Column:
     """The checksum of an object from its parts' (number, hexadecimal CRC, size), in order."""
     digits = POLYNOMIALS[kind][1] // 4

@@ -8,6 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def clean_plan(segments: DataFrame, by: list[str], capacity: int) -> DataFrame:
+    """The victims that cleaning gains from, with their place in each group: the fewest from the highest score whose live
+    data, packed, opens fewer segments than they free; none where the dead space they hold reaches a segment before."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "segment").rowsBetween(Window.unboundedPreceding, 0)
+    run = segments.withColumns({"place": F.count("*").over(w), "_live": F.sum("live").over(w), "_dead": F.sum(F.col("size") - F.col("live")).over(w)})
+    gains = F.col("place") > F.ceil(F.col("_live") / capacity)
+    due = F.col("_dead") >= capacity
+    ends = run.groupBy(*by).agg(F.min(F.when(gains, F.col("place"))).alias("_gain"), F.min(F.when(due & ~gains, F.col("place"))).alias("_due"))
+    kept = ends.where("_gain is not null and (_due is null or _gain <= _due)").select(*by, "_gain")
+    return run.join(kept, by).where(F.col("place") <= F.col("_gain")).select(*by, "segment", "place")
+
+
+def generated(index: Column, seed: int) -> Column:
+    """The 64-bit words of a SplitMix64 stream at places from 0, as hexadecimal: the same anywhere, in any order."""
+
+    @F.pandas_udf("string")
+    def of(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64).view(np.uint64) + np.uint64(1)
+        z = np.uint64(seed) + at * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        return pd.Series([f"{x:016x}" for x in z.tolist()])
+
+    return of(index)
+
+
 STRETCH = 1 << 16  # places of a log that one pass takes in order
 VOLUMES = 10_000  # that are sent to every task
 

@@ -125,6 +125,13 @@ def checksum_all(lake: Lake) -> DataFrame:
     return named.select("object", "algorithm", checksums.digest(F.col("algorithm"), F.col("body")).alias("digest"))
 
 
+@query("fed_digests", over("parts", DISTINCT_PARTS, body="SELECT upload, sha256(string_agg(body, '' ORDER BY part)) AS sha256 FROM d GROUP BY upload"))
+def fed_digests(lake: Lake) -> DataFrame:
+    """An upload's digest from its parts one after the other, never joined; an upload has 10,000 parts at most."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda p: p["body"])
+    return distinct_parts(lake).groupBy("upload").agg(ordered.alias("bodies")).select("upload", checksums.fed(F.col("bodies")).alias("sha256"))
+
+
 @query("crc_joined", over("parts", DISTINCT_PARTS, "n AS (SELECT upload, part, body, lead(body) OVER (PARTITION BY upload ORDER BY part) AS after FROM d)", body="SELECT upload, part, true AS crc32, true AS crc32c, true AS crc64nvme FROM n WHERE after IS NOT NULL"))
 def crc_joined(lake: Lake) -> DataFrame:
     """Whether the checksums of two parts, combined without their data, are those of the parts one after the other."""

@@ -166,6 +166,26 @@ def clean_candidates(lake: Lake) -> DataFrame:
     return dataflow.clean_scores(segments(lake)).orderBy(F.desc("score"), "segment").limit(20).select("segment", F.round("score", 6).alias("score"))
 
 
+CAPACITY = 18_000
+
+
+@query("clean_plan", over(SEGMENTS, "s AS (SELECT segment % 4 AS device, segment, size, live, (1 - live / size) * age / (1 + live / size) AS score FROM seg)", f"r AS (SELECT *, row_number() OVER w AS place, sum(live) OVER w AS l, sum(size - live) OVER w AS d FROM s WINDOW w AS (PARTITION BY device ORDER BY score DESC, segment ROWS UNBOUNDED PRECEDING))",
+    f"e AS (SELECT device, min(place) FILTER (place > ceil(l / {CAPACITY})) AS gain, min(place) FILTER (d >= {CAPACITY} AND place <= ceil(l / {CAPACITY})) AS due FROM r GROUP BY 1)", body="SELECT device, segment, place FROM r JOIN e USING (device) WHERE gain IS NOT NULL AND (due IS NULL OR gain <= due) AND place <= gain"))
+def clean_plan(lake: Lake) -> DataFrame:
+    """The segments that cleaning each device gains from."""
+    scored = dataflow.clean_scores(segments(lake)).withColumn("device", F.col("segment") % 4)
+    return dataflow.clean_plan(scored, ["device"], CAPACITY)
+
+
+_MUL = "CAST((CAST({a} AS HUGEINT) % 4294967296 * {b} + ((CAST({a} AS HUGEINT) // 4294967296 * {b}) % 4294967296) * 4294967296) % 18446744073709551616 AS UBIGINT)"
+
+
+@query("generated_words", over("version_log", "a AS (SELECT seq, CAST((77 + " + _MUL.format(a="(seq + 1)", b="11400714819323198485") + "::HUGEINT) % 18446744073709551616 AS UBIGINT) AS z FROM version_log)", "b AS (SELECT seq, " + _MUL.format(a="xor(z, z >> 30)", b="13787848793156543929") + " AS z FROM a)", "c AS (SELECT seq, " + _MUL.format(a="xor(z, z >> 27)", b="10723151780598845931") + " AS z FROM b)", body="SELECT seq, lpad(lower(to_hex(xor(z, z >> 31))), 16, '0') AS word FROM c"))
+def generated_words(lake: Lake) -> DataFrame:
+    """Reproducible data for benchmarks, drawn by place."""
+    return lake.version_log().select("seq", dataflow.generated(F.col("seq"), 77).alias("word"))
+
+
 @query("reclaimable_segments", over(SEGMENTS, body="SELECT segment, live = 0 AS reclaimable, CAST(live AS BIGINT) AS live FROM seg"))
 def reclaimable_segments(lake: Lake) -> DataFrame:
     return dataflow.clean_scores(segments(lake)).select("segment", "reclaimable", F.col("live").cast("long").alias("live"))
