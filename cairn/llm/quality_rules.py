@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import staged, whole_row
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Frequent function words of the reference languages.
@@ -39,13 +39,15 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(WHITE)), "[\\x09-\\x0D\\x20]+")
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carry: bool = False) -> DataFrame:
     """Counts of each text, its class histogram (lower, upper, digit, white, other) and its common-word histogram."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = base.select("id", "lang", "text", _words(F.col("text")).alias("words"))
+    also = ["row"] if carry else []
+    base = docs.select(*([whole_row(docs)] if carry else []), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    cut = base.select(*also, "id", "lang", "text", _words(F.col("text")).alias("words"))
     n = F.when((F.size("words") == 1) & (F.element_at("words", 1) == ""), 0).otherwise(F.size("words")).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     cut = cut.select(
+        *also,
         "id",
         "lang",
         "text",
@@ -60,8 +62,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     no_lower = F.replace(F.col("shape"), F.lit("a"), F.lit(""))
     no_upper = F.replace(no_lower, F.lit("A"), F.lit(""))
     no_digit = F.replace(no_upper, F.lit("0"), F.lit(""))
-    common = F.filter(F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))), lambda w: w.isin(WORDS))
+    bare = F.transform(_words(F.lower("text")), lambda w: F.rtrim(w, F.lit(".,;:!?")))
+    common = F.array_sort(F.filter(bare, lambda w: w.isin(WORDS)))
     cut = cut.select(
+        *also,
         "id",
         "lang",
         "n_words",
@@ -74,7 +78,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         F.length(no_digit).cast("long").alias("c3"),
         # letters without case, and marks on them, of texts that no reference language is named for
         F.when(_named(), 0).otherwise(F.col("chars") - F.length(F.regexp_replace("text", "[\\p{Lo}\\p{Lm}\\p{M}]", ""))).cast("long").alias("caseless"),
-        F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")).alias("common"),
+        common.alias("common"),
         # sorted with their places, and only where some window returns
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
     )
@@ -83,9 +87,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("at"))
     covered = F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["at"])).alias("n"), p.alias("at")), lambda a: a["n"])
-    count = lambda w: ((F.length("common") - F.length(F.replace(F.col("common"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("int")
+    # equal common words stand together: where each begins, and how many they are
+    begins = F.filter(F.transform("common", lambda w, i: F.when((i == 0) | (w != F.get("common", i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.size("common")))
+    counted = F.map_from_arrays(F.transform("begins", lambda i: F.get("common", i)), F.slice(F.zip_with(ends, "begins", lambda b, a: b - a), 1, F.size("begins")))
+    cut = cut.withColumn("begins", begins).withColumn("counted", counted)
     white = F.col("chars") - F.col("word_chars")
     hits = cut.select(
+        *also,
         "id",
         "lang",
         "chars",
@@ -96,18 +105,19 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         "caseless",
         F.array(F.col("chars") - F.col("c1"), F.col("c1") - F.col("c2"), F.col("c2") - F.col("c3"), white, F.col("c3") - white).alias("classes"),
         "n_words",
-        F.transform(F.array(*map(F.lit, WORDS)), count).alias("hits"),
+        F.transform(F.array(*map(F.lit, WORDS)), lambda w: F.coalesce(F.try_element_at("counted", w), F.lit(0))).alias("hits"),
+        # read twice, the map is made once beside the function that looks into it, not for each word
+        F.greatest(F.col("n_words") - _total(F.map_values("counted")), F.lit(0)).cast("int").alias("rest"),
     )
-    rest = F.array(F.greatest(F.col("n_words") - _total("hits"), F.lit(0)).cast("int"))
-    return hits.withColumn("hits", F.concat("hits", rest))
+    return hits.withColumn("hits", F.concat("hits", F.array("rest"))).drop("rest")
 
 
 def _named() -> Column:
     return F.coalesce(F.col("lang").isin(LANGUAGES), F.lit(False))
 
 
-def _total(name: str) -> Column:
-    return F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + x)
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def _failed() -> Column:
@@ -129,9 +139,9 @@ def references(stats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return {r["lang"]: (share(r["sums"][:5]), share(r["sums"][5:])) for r in found}
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row a document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and both distances."""
-    stats = staged(measured(docs, id_col, text_col, lang_col), "quality")
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """One row a document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, both distances, and with ``carry`` the whole row."""
+    stats = staged(measured(docs, id_col, text_col, lang_col, carry), "quality")
     refs = references(stats)
     share = lambda column, of: F.transform(column, lambda x: x / F.greatest(F.col(of), F.lit(1)))
     shares = stats.withColumns({"p": share("classes", "chars"), "w": share("hits", "n_words")})
@@ -144,4 +154,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     letters = F.transform(moved, lambda x: x / F.greatest(F.col("chars"), F.lit(1)))
     nearest = F.least(*[_distance(letters, q) for q, _ in refs.values()], F.lit(1.0)) if refs else F.lit(0.0)
     strange = F.when(known, (F.col("n_words") >= MIN_WORDS) & odd).otherwise(nearest > MAX_CLASS_DISTANCE)
-    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), (~_failed() & ~strange).alias("kept"), "class_distance", "word_distance")
+    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), (~_failed() & ~strange).alias("kept"), "class_distance", "word_distance", *(["row"] if carry else []))
