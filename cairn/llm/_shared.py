@@ -32,7 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared checkpoint folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

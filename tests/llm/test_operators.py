@@ -828,3 +828,23 @@ def test_language_backoff_against_plain():
         lang, score = model.predict(" ".join(text))
         assert score == pytest.approx(share) and (lang == "xyz"[best] or abs(sums["xyz".index(lang)] - sums[best]) < 1e-9)
     assert model.predict("½ ² Ⅷ 12") == ("und", 0.0) and language_id.words_of("été हिन्दी ½") == ["été", "हिन्दी"]
+
+
+# 9, the pieces
+
+
+def test_pieces_are_the_text(spark, odd_rows):
+    """Cut at words, each piece as long as it says, and all of a text's pieces joined are the text."""
+    rng = random.Random(17)
+    texts = [r[1] for r in odd_rows] + ["  " + rng.choice(["", "\n"]).join(rng.choice(["é", "ab ", "日本 ", " \t", "🙂\n", "x"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for most in (1, 3, 4096):
+        found = {}
+        for r in packing.pack(frame, max_tokens=most).collect():
+            found.setdefault(r["doc_id"], []).append(r)
+        for i, t in enumerate(texts):
+            t = t or ""
+            rows = sorted(found[i], key=lambda r: r["piece"])
+            assert "".join(t[r["begin"] : r["end"]] for r in rows) == t and [r["piece"] for r in rows] == list(range(len(rows)))
+            assert [r["n_tokens"] for r in rows] == [len(re.findall(r"[^ \t-\r]+", t[r["begin"] : r["end"]])) + (r is rows[-1]) for r in rows]
+            assert all(r["n_tokens"] == most for r in rows[:-1]) and 1 <= rows[-1]["n_tokens"] <= most
