@@ -76,6 +76,57 @@ def bucket_commands(lake: Lake) -> DataFrame:
     return machines.fold(bucket_log(lake), ["bucket"], machines.bucket_machine)
 
 
+def range_log(lake: Lake) -> DataFrame:
+    """Commands on ranges: a range is a user's, from the user's key on; generations and merges are those that a driver would have read a little before."""
+    log, k = lake.version_log(), F.col("seq")
+    op = F.when(F.col("kind") == "view", "split").when(F.col("kind") == "click", F.when(k % 3 == 0, "abandon").otherwise("merge")).when(F.col("kind") == "purchase", F.when(k % 2 == 0, "freeze").otherwise("resolve")).when(k % 3 == 0, "end").otherwise("thaw")
+    w = Window.partitionBy("user_id").orderBy("seq")
+    place = F.row_number().over(w)
+    low = F.concat(F.lit("k"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
+    return log.select(
+        F.col("user_id").alias("range"), "seq", op.alias("op"), low.alias("low"), F.concat(low, F.lit("~")).alias("high"), (F.floor(place / 3) + 1).alias("generation"),
+        F.when(k % 4 == 0, F.concat(low, F.lit("~"))).otherwise(F.concat(low, F.lit("/"), F.lpad((100 - F.floor(place / 2)).cast("string"), 3, "0"))).alias("at_key"),
+        (F.col("user_id") + 1).alias("into"), F.when((op == "freeze") & (k % 5 != 0), low).otherwise(F.concat(low, F.lit("~~"))).alias("into_high"), (k % 2 + 1).alias("into_generation"), (k % 7 != 0).alias("fits"),
+    )
+
+
+@query("range_commands")
+def range_commands(lake: Lake) -> DataFrame:
+    """The outcome of every split, freeze and merge of a range."""
+    return machines.fold(range_log(lake), ["range"], machines.range_machine)
+
+
+def gate_log(lake: Lake) -> DataFrame:
+    """Moves of gates: a gate is a user's, opened, closed, condemned and dropped by attempts that count up."""
+    log, k = lake.version_log(), F.col("seq")
+    pairs = [(None, "open"), ("open", "closed"), ("closed", "condemned"), ("condemned", None), ("closed", "open"), (None, "closed"), ("closed", "closed"), ("open", "condemned")]
+    pick = lambda side: F.get(F.array(*[F.lit(p[side]).cast("string") for p in pairs]), F.col("step").cast("int"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
+    stepped = log.select("user_id", "seq", F.when(k % 7 == 0, k % 8).otherwise(place % 4).alias("step"), place.alias("place"))
+    return stepped.select(F.col("user_id").alias("gate"), "seq", pick(0).alias("before"), pick(1).alias("to"), F.floor(F.col("place") / 4).alias("attempt"), F.floor(F.col("place") / 16).alias("incarnation"), (k % 9 == 0).alias("holds_rows"))
+
+
+@query("gate_commands")
+def gate_commands(lake: Lake) -> DataFrame:
+    """The outcome of every move of a gate."""
+    return machines.fold(gate_log(lake), ["gate"], machines.gate_machine)
+
+
+def session_log(lake: Lake) -> DataFrame:
+    """Commands of sessions: a session is a user's; some come again, some acknowledge what came before."""
+    log, k = lake.version_log(), F.col("seq")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
+    op = F.when((place == 1) | (k % 37 == 0), "register").when(k % 41 == 0, "expire").otherwise("command")
+    serial = F.when(k % 53 == 0, F.lit(machines.LAST_SERIAL)).when(k % 3 == 0, place - 1).when(k % 11 == 0, place - 6).otherwise(place)
+    return log.select(F.col("user_id").alias("session"), "seq", F.col("created").alias("at"), op.alias("op"), serial.cast("long").alias("serial"), F.when(k % 5 == 0, F.lit(0)).otherwise(place - 3).cast("long").alias("unanswered"))
+
+
+@query("session_commands")
+def session_commands(lake: Lake) -> DataFrame:
+    """What each session says of every command."""
+    return machines.fold(session_log(lake), ["session"], machines.session_machine)
+
+
 @query("root_enlistments", over("volumes", "e AS (SELECT volume, node, domain, CASE WHEN volume % 10 = 7 THEN 'elsewhere' ELSE domain END AS stated FROM volumes)", body="SELECT volume, node, CASE WHEN length(stated) > 255 OR stated <> domain THEN 'Conflict' WHEN dense_rank() OVER (ORDER BY node) > 20 THEN 'Full' ELSE 'Enlisted' END AS outcome FROM e"))
 def root_enlistments(lake: Lake) -> DataFrame:
     """Nodes that state their domain and volumes: one that the table holds otherwise conflicts, more nodes than the cell states don't fit."""

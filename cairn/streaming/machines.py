@@ -295,6 +295,133 @@ def bucket_machine(state: dict, c: dict) -> str:
     return done
 
 
+# a range's lineage
+
+
+def range_machine(state: dict, c: dict) -> str:
+    """split, freeze, thaw, end, abandon, merge and resolve of a range: its bounds, its generation, and the merge it is in.
+
+    A frozen range takes only the steps of its merge, an ended one only its end again. ``merge`` names the range above,
+    its bounds and whether it fits; it is refused where the two don't border or a merge is still unresolved.
+    """
+    if not state:
+        state.update(low=c["low"], high=c["high"] if _given(c["high"]) else None, generation=1, standing="serving", into=None, taken=None)
+    op, standing = c["op"], state["standing"]
+
+    def onward(outcome: str) -> str:
+        state["generation"] += 1
+        return outcome
+
+    frozen_for = standing == "frozen" and state["into"] is not None and state["into"][1] == c["into_generation"]
+    if op == "thaw" and standing == "frozen":
+        if not frozen_for:
+            return "Conflict"
+        state.update(standing="serving", into=None)
+        return onward("Thawed")
+    if op == "end" and standing != "serving":
+        if standing == "ended":
+            return "Ended" if state["into"][0] == c["into"] else "Conflict"
+        if not frozen_for or state["into"][0] != c["into"]:
+            return "Conflict"
+        state["standing"] = "ended"
+        return "Ended"
+    if standing != "serving":
+        return "Moved"
+    if op in ("thaw", "end"):
+        return "Conflict"
+    if op in ("split", "merge") and c["generation"] != state["generation"]:
+        return "Moved"
+    if op == "split":
+        at = c["at_key"]
+        if not at or at <= state["low"] or (state["high"] is not None and at >= state["high"]):
+            return "Invalid"
+        state["high"] = at
+        return onward("Split")
+    if op == "freeze":
+        if state["taken"] is not None:
+            return "Conflict"
+        if c["into_high"] != state["low"]:
+            return "Invalid"
+        state.update(standing="frozen", into=[c["into"], c["into_generation"]])
+        return onward("Frozen")
+    if op == "abandon":
+        return onward("Refused")
+    if op == "resolve":
+        if state["taken"] == [c["into"], c["into_generation"]]:
+            state["taken"] = None
+        return "Resolved"
+    borders = state["high"] is not None and state["high"] == c["at_key"]
+    if state["taken"] is not None or not borders or not bool(c["fits"]):
+        return onward("Refused")
+    state.update(high=c["into_high"] if _given(c["into_high"]) else None, taken=[c["into"], c["generation"]])
+    state["generation"] = max(state["generation"], int(c["into_generation"])) + 1
+    return "Merged"
+
+
+# the gate of a bucket in a range
+
+#: The steps that creating and deleting a bucket take.
+GATE_STEPS = {(None, "open"), (None, "closed"), ("open", "closed"), ("closed", "open"), ("closed", "closed"), ("closed", "condemned"), ("condemned", None)}
+
+
+def gate_machine(state: dict, c: dict) -> str:
+    """A gate's move from one state to another for an attempt; the attempts that dropped a gate are remembered as a floor."""
+    state.setdefault("floor", 0)
+    before, to = (c[k] if _given(c[k]) else None for k in ("before", "to"))
+    attempt, incarnation = int(c["attempt"]), int(c["incarnation"])
+    if (before, to) not in GATE_STEPS:
+        return "Invalid"
+    held = state.get("gate")
+    moved = None if to is None else [to, incarnation, attempt]
+    if held == moved:
+        return "GateMoved"
+    if held is not None:
+        if held[2] > attempt or held[1] != incarnation or held[0] != before:
+            return "Conflict"
+    elif (before, to) == ("closed", "condemned") and attempt <= state["floor"]:
+        return "GateMoved"
+    elif before is not None or attempt < state["floor"]:
+        return "Conflict"
+    if moved is None:
+        if bool(c["holds_rows"]):
+            return "NotEmpty"
+        state["floor"] = max(state["floor"], attempt)
+    state["gate"] = moved
+    return "GateMoved"
+
+
+# sessions of a range
+
+LAST_SERIAL = (1 << 63) - 1
+MOST_ANSWERS = 8
+
+
+def session_machine(state: dict, c: dict) -> str:
+    """register, expire, and commands by serial: each is new, answered before, repeated after its answer was acknowledged,
+    spent (the last serial), or of an unknown session. Unacknowledged answers past their bound expire the session."""
+    op = c["op"]
+    if op == "register":
+        state.update(low=0, answers=[], last=int(c["at"]))
+        return "Registered"
+    if op == "expire":
+        state.clear()
+        return "Expired"
+    if "low" not in state:
+        return "Unknown"
+    serial = int(c["serial"])
+    if serial == LAST_SERIAL:
+        return "Spent"
+    if serial < state["low"]:
+        return "Repeated"
+    seen = serial in state["answers"]
+    state["low"] = max(state["low"], int(c["unanswered"]))
+    state["answers"] = [x for x in state["answers"] if x >= state["low"]] + ([] if seen else [serial])
+    state["last"] = int(c["at"])
+    if len(state["answers"]) > MOST_ANSWERS:
+        state.clear()
+    return "Answered" if seen else "New"
+
+
 # the fold
 
 

@@ -72,7 +72,7 @@ def test_buckets():
     assert got == ["TooManyBuckets", "Creating", "Creating", "OperationAborted", "Conflict", "Activated", "AlreadyOwnedByYou", "AlreadyExists", "VersioningNotEnabled", "Versioned", "LockConfigured", "VersioningLocked", "Invalid", "NoSuchBucket", "Conflict", "Deleting", "OperationAborted", "Progressed", "Restored", "Conflict", "Deleting", "Deleted", "OperationAborted", "Conflict", "Forgotten", "Forgotten", "NoSuchBucket"]
 
 
-@pytest.mark.parametrize(("log", "keys", "machine"), [(plans.name_log, ["bucket", "key"], machines.name_machine), (plans.block_log, ["block"], machines.block_machine), (plans.bucket_log, ["bucket"], machines.bucket_machine)])
+@pytest.mark.parametrize(("log", "keys", "machine"), [(plans.name_log, ["bucket", "key"], machines.name_machine), (plans.block_log, ["block"], machines.block_machine), (plans.bucket_log, ["bucket"], machines.bucket_machine), (plans.range_log, ["range"], machines.range_machine), (plans.gate_log, ["gate"], machines.gate_machine), (plans.session_log, ["session"], machines.session_machine)])
 def test_stream_agrees(spark, tmp_path, log, keys, machine):
     rows = log(Lake(spark, FOLDER))
     want = sorted(map(tuple, machines.fold(rows, keys, machine).collect()))
@@ -101,3 +101,26 @@ def test_replay_of_plain_commands_agrees_with_the_closed_form(spark):
     for c in sorted((r.asDict() for r in commands.collect()), key=lambda c: c["seq"]):
         machines.name_machine(states.setdefault((c["bucket"], c["key"]), {}), c)
     assert {k: len(s["versions"]) for k, s in states.items()} == want
+
+
+def test_ranges():
+    base = {"low": "b", "high": "m", "generation": 1, "at_key": None, "into": 9, "into_high": "b", "into_generation": 4, "fits": True}
+    c = lambda op, **more: base | {"op": op} | more
+    got, state = run(machines.range_machine, [c("thaw"), c("split", at_key="b"), c("split", at_key="z"), c("split", at_key="f"), c("split", at_key="d"), c("split", at_key="d", generation=2), c("merge", generation=3, at_key="x"), c("merge", generation=4, at_key="d", into_high="f", into_generation=7), c("freeze"), c("resolve", into_generation=1), c("resolve", into_generation=4), c("freeze", into_high="c"), c("freeze"), c("split", at_key="c", generation=9), c("thaw", into_generation=1), c("thaw"), c("freeze"), c("end", into=8), c("end"), c("end"), c("thaw"), c("abandon")])
+    assert got == ["Conflict", "Invalid", "Invalid", "Split", "Moved", "Split", "Refused", "Merged", "Conflict", "Resolved", "Resolved", "Invalid", "Frozen", "Moved", "Conflict", "Thawed", "Frozen", "Conflict", "Ended", "Ended", "Moved", "Moved"]
+    assert (state["low"], state["high"], state["standing"], state["generation"]) == ("b", "f", "ended", 11)
+
+
+def test_gates():
+    move = lambda before, to, attempt, incarnation=1, rows=False: {"before": before, "to": to, "attempt": attempt, "incarnation": incarnation, "holds_rows": rows}
+    got, state = run(machines.gate_machine, [move("open", "closed", 1), move(None, "open", 1), move(None, "open", 1), move("open", "condemned", 1), move("open", "closed", 2, 7), move("open", "closed", 2), move("closed", "open", 1), move("closed", "condemned", 3), move("condemned", None, 3, rows=True), move("condemned", None, 3), move("closed", "condemned", 2), move(None, "open", 2), move(None, "closed", 4, 2)])
+    assert got == ["Conflict", "GateMoved", "GateMoved", "Invalid", "Conflict", "GateMoved", "Conflict", "GateMoved", "NotEmpty", "GateMoved", "GateMoved", "Conflict", "GateMoved"]
+    assert state["floor"] == 3 and state["gate"] == ["closed", 2, 4]
+
+
+def test_sessions():
+    use = lambda serial, unanswered=0: {"op": "command", "serial": serial, "unanswered": unanswered}
+    got, _ = run(machines.session_machine, [use(0), {"op": "register"}, use(0), use(0), use(2), use(1, 2), use(1), use(2), use(machines.LAST_SERIAL), {"op": "expire"}, use(5)])
+    assert got == ["Unknown", "Registered", "New", "Answered", "New", "New", "Repeated", "Answered", "Spent", "Expired", "Unknown"]
+    got, _ = run(machines.session_machine, [{"op": "register"}, *(use(i) for i in range(machines.MOST_ANSWERS + 2))])
+    assert got[-2:] == ["New", "Unknown"]  # too many answers that nobody acknowledged
