@@ -150,12 +150,12 @@ def json_documents(lake: Lake) -> DataFrame:
     return e.select("event_id", wire.json_valid(F.col("props")).alias("valid"), F.get_json_object("props", "$.k").alias("k"), wire.json_compact(F.col("props")).alias("compact"), (~wire.json_valid(doubled)).alias("twice"))
 
 
-@query("tag_headers", over("version_log", body="SELECT seq, CASE seq % 5 WHEN 1 THEN 'Header' WHEN 2 THEN 'Header' WHEN 3 THEN 'TooMany' END AS fault, CASE seq % 5 WHEN 0 THEN ['team=' || kind, 'a b=' || user_id || '/'] WHEN 4 THEN ['alone='] END AS tags FROM version_log"))
+@query("tag_headers", over("version_log", body="SELECT seq, CASE seq % 5 WHEN 1 THEN 'Header' WHEN 2 THEN 'Header' WHEN 3 THEN 'TooMany' END AS fault, CASE seq % 5 WHEN 0 THEN 'team=' || kind || ';a b=' || user_id || '/' WHEN 4 THEN 'alone=' END AS tags FROM version_log"))
 def tag_headers(lake: Lake) -> DataFrame:
     """Tags that a header names, or its first fault: a second = in a pair, a name twice, more than ten."""
     k = F.col("seq") % 5
     sent = F.when(k == 0, F.concat(F.lit("team="), F.col("kind"), F.lit("&&a+b="), text("user_id"), F.lit("%2F"))).when(k == 1, F.lit("a=b=c")).when(k == 2, F.lit("a=1&a=2")).when(k == 3, F.lit("&".join(f"t{i}=1" for i in range(11)))).otherwise("alone")
-    return lake.version_log().select("seq", wire.tags(sent).alias("t")).select("seq", "t.fault", F.transform("t.tags", lambda x: F.concat(x["name"], F.lit("="), x["value"])).alias("tags"))
+    return lake.version_log().select("seq", wire.tags(sent).alias("t")).select("seq", "t.fault", F.array_join(F.transform("t.tags", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";").alias("tags"))
 
 
 # policies
