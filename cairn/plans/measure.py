@@ -14,6 +14,18 @@ from .registry import query
 from .sql import over
 
 DAY = 86_400_000_000
+# the low 64 bits of a product, by halves of the first factor
+_MUL = "CAST((CAST({a} AS HUGEINT) % 4294967296 * {b} + ((CAST({a} AS HUGEINT) // 4294967296 * {b}) % 4294967296) * 4294967296) % 18446744073709551616 AS UBIGINT)"
+
+
+def _mixed(name: str, source: str, start: str, keep: str) -> str:
+    """Three steps in SQL that make a SplitMix64 word of a state, as views called name1 to name4."""
+    first = f"{name}1 AS (SELECT {keep}, CAST((CAST({start} AS HUGEINT) + 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS z FROM {source})"
+    second = f"{name}2 AS (SELECT {keep}, " + _MUL.format(a="xor(z, z >> 30)", b="13787848793156543929") + f" AS z FROM {name}1)"
+    third = f"{name}3 AS (SELECT {keep}, " + _MUL.format(a="xor(z, z >> 27)", b="10723151780598845931") + f" AS z FROM {name}2)"
+    return ", ".join([first, second, third, f"{name}4 AS (SELECT {keep}, xor(z, z >> 31) AS x FROM {name}3)"])
+
+
 BUCKET = """CASE WHEN v < 32 THEN v ELSE (floor(log2(v)) - 4) * 32 + ((v >> CAST(floor(log2(v)) - 5 AS INT)) & 31) END"""
 LATENCIES = "lat AS (SELECT kind, greatest(size, 0) AS v FROM version_log)"
 HIST = f"hist AS (SELECT kind, CAST({BUCKET} AS INT) AS bucket, count(*) AS n, max(v) AS most FROM lat GROUP BY 1, 2)"
@@ -176,10 +188,6 @@ def clean_plan(lake: Lake) -> DataFrame:
     scored = dataflow.clean_scores(segments(lake)).withColumn("device", F.col("segment") % 4)
     return dataflow.clean_plan(scored, ["device"], CAPACITY)
 
-
-_MUL = "CAST((CAST({a} AS HUGEINT) % 4294967296 * {b} + ((CAST({a} AS HUGEINT) // 4294967296 * {b}) % 4294967296) * 4294967296) % 18446744073709551616 AS UBIGINT)"
-
-
 @query("generated_words", over("version_log", "a AS (SELECT seq, CAST((77 + " + _MUL.format(a="(seq + 1)", b="11400714819323198485") + "::HUGEINT) % 18446744073709551616 AS UBIGINT) AS z FROM version_log)", "b AS (SELECT seq, " + _MUL.format(a="xor(z, z >> 30)", b="13787848793156543929") + " AS z FROM a)", "c AS (SELECT seq, " + _MUL.format(a="xor(z, z >> 27)", b="10723151780598845931") + " AS z FROM b)", body="SELECT seq, lpad(lower(to_hex(xor(z, z >> 31))), 16, '0') AS word FROM c"))
 def generated_words(lake: Lake) -> DataFrame:
     """Reproducible data for benchmarks, drawn by place."""
@@ -199,7 +207,13 @@ def reclaim_cascade(lake: Lake) -> DataFrame:
     return e.groupBy("block").agg(F.count("*").alias("extents"), held.alias("held")).where("held = 0").select("block", "extents")
 
 
-@query("placement_order")
+_PAIR = "block, volume, domain, bytes"
+_CELL = "cell AS (SELECT node AS volume, domain, floor(sum(greatest(bytes, 0))) AS bytes FROM volumes GROUP BY 1, 2)"
+_DRAWN = [_CELL, f"pairs AS (SELECT p_partkey AS block, {_PAIR[7:]} FROM part, cell)", _mixed("a", "pairs", "CAST(block AS UBIGINT)", _PAIR), _mixed("b", "a4", "x", _PAIR), _mixed("c", "b4", "xor(x, CAST(volume AS UBIGINT))", _PAIR), _mixed("d", "c4", "x", _PAIR)]
+
+
+@query("placement_order", over("volumes", *_DRAWN, f"keyed AS (SELECT {_PAIR}, CASE WHEN bytes > 0 THEN ln((CAST(x >> 11 AS DOUBLE) + 1) / 9007199254740992.0) / bytes ELSE -1e300 END AS k FROM d4)", "firsts AS (SELECT *, row_number() OVER (PARTITION BY block, domain ORDER BY k DESC, volume) AS n FROM keyed)",
+    body="SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY bytes <= 0, n > 1, k DESC, volume) AS INT) AS place, volume, domain FROM firsts"))
 def placement_order(lake: Lake) -> DataFrame:
     """Every block's volumes in their order of offer; those of one domain compete for its first place."""
     blocks = lake.table("part").select(F.col("p_partkey").alias("block"))
