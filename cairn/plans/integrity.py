@@ -200,3 +200,11 @@ def range_images(lake: Lake) -> DataFrame:
     """A range's rows written as an image and installed from it."""
     rows = lake.version_log().where("key >= '3/' and key < '7/'").select("bucket", "key", "seq", "size")
     return log_files.through_image(rows, ["bucket", "key", "seq"])
+
+
+@query("verified_objects", over(body="SELECT doc_id AS object, n_chars AS stored, CAST(length(text) AS BIGINT) AS found, n_chars = length(text) AS whole FROM documents"))
+def verified_objects(lake: Lake) -> DataFrame:
+    """Each object's stored length against what its body holds."""
+    d = lake.table("documents")
+    found = F.length("text").cast("long")
+    return d.select(F.col("doc_id").alias("object"), F.col("n_chars").alias("stored"), found.alias("found"), (F.col("n_chars") == found).alias("whole"))

@@ -357,3 +357,10 @@ def write_batches(lake: Lake) -> DataFrame:
     whole = F.when(F.col("marker"), F.array_append(batch, entry("delete_range", k, F.concat(k, F.lit("0"))))).otherwise(batch)
     rows = lake.version_log().select("seq", F.posexplode(whole).alias("i", "e"))
     return rows.select((F.col("seq") * 4 + F.col("i")).alias("sequence"), F.col("seq").alias("batch"), "e.op", "e.key", "e.value")
+
+
+@query("object_headers", over("version_log", body="SELECT seq, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.absent') AS absent, len(json_keys(props)) AS headers FROM version_log"))
+def object_headers(lake: Lake) -> DataFrame:
+    """Headers of stored objects, by name."""
+    read = lake.version_log().select("seq", F.from_json("props", "map<string,string>").alias("h"))
+    return read.select("seq", F.try_element_at("h", F.lit("k")).alias("k"), F.try_element_at("h", F.lit("absent")).alias("absent"), F.size("h").cast("long").alias("headers"))
