@@ -138,3 +138,32 @@ def separator(a: Column, b: Column) -> Column:
     later = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: (i > n + 1) & (at(a, i) < 127))
     follow = F.get(later, 0)
     return F.when(n >= least, a).when(at(a, n + 1) + 1 < at(b, n + 1), cut(n + 1)).when(follow.isNotNull() & (follow < F.length(a)), cut(follow)).otherwise(a)
+
+
+def varint(number: Column) -> Column:
+    """A non-negative number in groups of 7 bits from the lowest, a high bit on all but the last, as hexadecimal."""
+    left = lambda i: F.call_function("shiftright", number, 7 * i)
+    groups = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: (i == 0) | (left(i) > 0))
+    octet = lambda i: left(i).bitwiseAND(F.lit(127).cast("long")) + F.when((i < 8) & (left(i + 1) > 0), 128).otherwise(0)
+    return F.array_join(F.transform(groups, lambda i: F.lpad(F.lower(F.hex(octet(i))), 2, "0")), "")
+
+
+def read_varint(digits: Column) -> Column:
+    """(number, size) of a varint at the start of hexadecimal digits; null where it doesn't end."""
+    octets = F.transform(F.sequence(F.lit(0), F.least(F.floor(F.length(digits) / 2), F.lit(9)).cast("int") - 1), lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+    size = F.array_position(F.transform(octets, lambda x: x < 128), True).cast("int")
+    value = F.aggregate(F.transform(F.slice(octets, 1, size), lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(127).cast("long")), 7 * i)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(size > 0, F.struct(value.alias("number"), size.alias("size")))
+
+
+def sliced(text: Column) -> Column:
+    """A text's octets with their number before them, as hexadecimal."""
+    octets = F.encode(text, "UTF-8")
+    return F.concat(varint(F.length(octets).cast("long")), F.lower(F.hex(octets)))
+
+
+def read_slice(digits: Column) -> Column:
+    """The text of a length-prefixed slice, or null where it is cut."""
+    head = read_varint(digits)
+    held = F.substr(digits, 2 * head["size"] + 1, (2 * head["number"]).cast("int"))
+    return F.when(F.length(held) == 2 * head["number"], F.decode(F.unhex(held), "UTF-8"))

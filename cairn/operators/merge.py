@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.keys import shared_prefix
+
 
 def newest(versions: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The newest row of each key. max_by over a struct combines map-side, where a window would sort whole groups."""
@@ -125,3 +127,24 @@ def page(rows: DataFrame, order: list[str], limit: int, after: tuple | None = No
     top = rows.orderBy(*order).limit(limit + 1)  # one more tells whether the page is cut
     seen = top.select("*", F.row_number().over(Window.orderBy(*order)).alias("_n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_all"))
     return seen.where(F.col("_n") <= limit).select(*rows.columns, (F.col("_all") > limit).alias("truncated"))
+
+
+def range_filter(keys: DataFrame, by: list[str], key: str = "key") -> DataFrame:
+    """(by, mark, whole): each key cut behind the first character that tells it from its neighbours in order, and whether that left it whole."""
+    w = Window.partitionBy(*by).orderBy(key)
+    shared = F.greatest(*[F.coalesce(shared_prefix(F.col(key), side), F.lit(0)) for side in (F.lag(key).over(w), F.lead(key).over(w))])
+    return keys.select(*by, key).distinct().withColumn("_n", shared).select(*by, F.substr(key, F.lit(1), F.col("_n") + 1).alias("mark"), (F.col("_n") + 1 >= F.length(key)).alias("whole"))
+
+
+def may_hold(spans: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+    """spans (by, low, high) with whether the filter holds a mark that may stand for a key in [low, high).
+
+    Either the least mark at or above low is below high, or low begins with a cut mark: that is the greatest below low,
+    as no other mark begins with a cut one.
+    """
+    starts = marks.select(*by, F.col("mark").alias("start"))
+    above = ceil_join(spans.withColumn("key", F.col("low")), starts, by=by).withColumnRenamed("start", "_above")
+    below = floor_join(above, starts, by=by)
+    cut = marks.where("not whole").select(*by, F.col("mark").alias("start"), F.lit(True).alias("_cut"))
+    begins = F.col("_cut") & F.startswith("low", "start")
+    return below.join(cut, [*by, "start"], "left").select(*by, "low", "high", (F.coalesce(F.col("_above") < F.col("high"), F.lit(False)) | F.coalesce(begins, F.lit(False))).alias("may_hold"))

@@ -343,7 +343,7 @@ def pruned_merge(lake: Lake) -> DataFrame:
     """A merge over a span that opens only the runs whose bounds meet it."""
     log = lake.version_log().select(*KEY, "seq", "marker").withColumn("run", F.substring("key", 1, 1))
     bounds = log.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < '5/6' and high >= '3/2'")
-    opened = log.join(F.broadcast(bounds.select("run")), "run", "left_semi").where("key >= '3/2' and key < '5/6'")
+    opened = log.join(bounds.select("run"), "run", "left_semi").where("key >= '3/2' and key < '5/6'")
     live = merge.current(opened, KEY).groupBy("bucket").agg(F.count("*").alias("keys"), F.sum("seq").alias("seqs"))
     return live.crossJoin(F.broadcast(bounds.agg(F.count("*").alias("runs")))).select("runs", "bucket", "keys", "seqs")
 
@@ -364,3 +364,44 @@ def object_headers(lake: Lake) -> DataFrame:
     """Headers of stored objects, by name."""
     read = lake.version_log().select("seq", F.from_json("props", "map<string,string>").alias("h"))
     return read.select("seq", F.try_element_at("h", F.lit("k")).alias("k"), F.try_element_at("h", F.lit("absent")).alias("absent"), F.size("h").cast("long").alias("headers"))
+
+
+_VARINT = "array_to_string(list_transform(list_filter(generate_series(0, 8), lambda i: i = 0 OR (v >> (7 * i)) > 0), lambda i: lpad(lower(to_hex(((v >> (7 * i)) & 127) + CASE WHEN i < 8 AND (v >> (7 * (i + 1))) > 0 THEN 128 ELSE 0 END)), 2, '0')), '')"
+
+
+@query("varints", over("version_log", "n AS (SELECT seq, seq * seq * seq AS v FROM version_log)", body=f"SELECT seq, {_VARINT} AS digits, v AS number FROM n"))
+def varints(lake: Lake) -> DataFrame:
+    """Numbers as varints, and read back."""
+    made = lake.version_log().select("seq", keys.varint(F.col("seq") * F.col("seq") * F.col("seq")).alias("digits"))
+    return made.select("seq", "digits", keys.read_varint(F.concat("digits", F.lit("ff01")))["number"].alias("number"))
+
+
+@query("length_prefixed", over("objects", "o AS (SELECT object, substr(body, 1, 500) AS t FROM objects WHERE body IS NOT NULL)", "n AS (SELECT object, t, CAST(octet_length(encode(t)) AS BIGINT) AS v FROM o)", body=f"SELECT object, md5({_VARINT} || lower(to_hex(encode(t)))) AS digest, md5(t) AS read, true AS refused FROM n"))
+def length_prefixed(lake: Lake) -> DataFrame:
+    """Texts with their length before them, read back; one that is cut is refused. A name or header is 500 characters at most here."""
+    o = lake.objects().where("body is not null").select("object", F.substr("body", F.lit(1), F.lit(500)).alias("t"))
+    made = o.select("object", "t", keys.sliced(F.col("t")).alias("digits"))
+    cut = F.substr("digits", F.lit(1), F.length("digits") - 2)
+    return made.select("object", F.md5("digits").alias("digest"), F.md5(keys.read_slice(F.col("digits"))).alias("read"), (keys.read_slice(cut).isNull() | (F.col("t") == "")).alias("refused"))
+
+
+@query("budgeted_scan", over("version_log", "ranked", "k AS (SELECT bucket, key, marker FROM ranked WHERE nth = 1)", "c AS (SELECT *, sum(CAST(marker AS INT)) OVER (PARTITION BY bucket ORDER BY key ROWS UNBOUNDED PRECEDING) - CAST(marker AS INT) AS before FROM k)", body="SELECT bucket, CAST(before // 3 AS BIGINT) AS step, min(key) AS first, max(key) AS last, count(*) FILTER (NOT marker) AS live FROM c GROUP BY 1, 2"))
+def budgeted_scan(lake: Lake) -> DataFrame:
+    """The steps of a scan that pauses after three keys without a live version."""
+    k = merge.newest(lake.version_log().select(*KEY, "seq", "marker"), KEY)
+    barren = F.col("marker").cast("int")
+    before = F.sum(barren).over(Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - barren
+    steps = k.withColumn("step", F.floor(before / 3))
+    return steps.groupBy("bucket", "step").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count_if(~F.col("marker")).alias("live"))
+
+
+_MARKS = "marks AS (SELECT bucket, substr(key, 1, 1 + greatest(coalesce(p, 0), coalesce(q, 0))) AS mark, 1 + greatest(coalesce(p, 0), coalesce(q, 0)) >= length(key) AS whole FROM (SELECT bucket, key, (SELECT count(*) FROM (SELECT unnest(generate_series(1, length(key))) AS i) WHERE substr(key, 1, i) = substr(a, 1, i)) AS p, (SELECT count(*) FROM (SELECT unnest(generate_series(1, length(key))) AS i) WHERE substr(key, 1, i) = substr(b, 1, i)) AS q FROM (SELECT bucket, key, lag(key) OVER w AS a, lead(key) OVER w AS b FROM k WINDOW w AS (PARTITION BY bucket ORDER BY key))))"
+
+
+@query("range_filters", over("version_log", "k AS (SELECT DISTINCT bucket, key FROM version_log)", _MARKS, "s AS (SELECT DISTINCT bucket, (user_id % 10) || '/' || (user_id + 40) AS low, (user_id % 10) || '/' || (user_id + 43) AS high FROM version_log)", body="SELECT bucket, low, high, EXISTS (SELECT 1 FROM marks m WHERE m.bucket = s.bucket AND mark < high AND (mark >= low OR (NOT whole AND starts_with(low, mark)))) AS may_hold FROM s WHERE low < high"))
+def range_filters(lake: Lake) -> DataFrame:
+    """Whether a filter of each bucket's cut keys may hold a key of a span."""
+    log = lake.version_log()
+    lead = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/"))
+    spans = log.select("bucket", F.concat(lead, (F.col("user_id") + 40).cast("string")).alias("low"), F.concat(lead, (F.col("user_id") + 43).cast("string")).alias("high")).distinct().where("low < high")
+    return merge.may_hold(spans, merge.range_filter(log.select(*KEY), ["bucket"]), ["bucket"])

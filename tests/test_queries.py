@@ -247,3 +247,31 @@ def test_texts_and_lengths(spark):
     for ip, network, inside in (("::1", "::/0", True), ("1::", "1::/16", True), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:0/112", True), ("1:2:3:4:5:6:7", "1::/16", False), ("1::2::3", "::/0", False), ("10.0.0.1", "0.0.0.0/0", True), ("::ffff", "0.0.0.0/0", False), ("", "::/0", False)):
         assert one(rules.in_network(F.lit(ip), network)) is inside, ip
     assert base64.b64encode(b"view") == b"dmlldw=="
+
+
+def test_range_filter_misses_nothing(spark):
+    import random
+
+    rng = random.Random(8)
+    keys_ = sorted({"".join(rng.choice("ab/") for _ in range(rng.randrange(1, 7))) for _ in range(60)})
+    spans = sorted({tuple(sorted(("".join(rng.choice("ab/c") for _ in range(rng.randrange(1, 7))), "".join(rng.choice("ab/c") for _ in range(rng.randrange(1, 7)))))) for _ in range(200)})
+    spans = [(a, b) for a, b in spans if a < b]
+    marks = merge.range_filter(spark.createDataFrame([("x", k) for k in keys_], "by string, key string"), ["by"])
+    got = {(r["low"], r["high"]): r["may_hold"] for r in merge.may_hold(spark.createDataFrame([("x", *s) for s in spans], "by string, low string, high string"), marks, ["by"]).collect()}
+    truth = {(a, b): any(a <= k < b for k in keys_) for a, b in spans}
+    assert all(got[s] or not truth[s] for s in spans) and sum(got[s] != truth[s] for s in spans) < len(spans) / 4 and not all(got.values())
+
+
+def test_varints_and_slices(spark):
+    one = lambda column: spark.range(1).select(column.alias("x")).first()["x"]
+    for n in (0, 1, 127, 128, 300, (1 << 62) + 5):
+        digits = one(keys.varint(F.lit(n).cast("long")))
+        plain, left = [], n
+        while True:
+            plain.append((left & 127) | (128 if left > 127 else 0))
+            left >>= 7
+            if not left:
+                break
+        assert bytes.fromhex(digits) == bytes(plain) and tuple(one(keys.read_varint(F.lit(digits + "00")))) == (n, len(plain))
+    assert one(keys.read_varint(F.lit("ffff"))) is None
+    assert one(keys.read_slice(keys.sliced(F.lit("é" * 100)))) == "é" * 100 and one(keys.read_slice(F.lit("05616263"))) is None
