@@ -360,7 +360,7 @@ def range_machine(state: dict, c: dict) -> str:
 
 # the gate of a bucket in a range
 
-#: The steps that creating and deleting a bucket take.
+#: The steps that creating and deleting a bucket take.
 GATE_STEPS = {(None, "open"), (None, "closed"), ("open", "closed"), ("closed", "open"), ("closed", "closed"), ("closed", "condemned"), ("condemned", None)}
 
 
