@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.sources.views import Lake
 from cairn.streaming import machines
 
+from . import machine_sql
 from .registry import query
 from .replay import mode
 from .sql import over
@@ -36,7 +37,7 @@ def name_log(lake: Lake) -> DataFrame:
     )
 
 
-@query("name_commands")
+@query("name_commands", machine_sql.NAMES)
 def name_commands(lake: Lake) -> DataFrame:
     """The outcome of every command on a key."""
     return machines.fold(name_log(lake), ["bucket", "key"], machines.name_machine)
@@ -53,7 +54,7 @@ def block_log(lake: Lake) -> DataFrame:
     return log.select(F.col("user_id").alias("block"), "seq", F.col("created").alias("at"), op.alias("op"), chunks.alias("chunks"), (k % 19 != 0).cast("long").alias("file"), F.lit(HOUR).alias("handover"), F.coalesce(set_, F.lit(0)).alias("deadline"), (k % 4).alias("index"), (k % 3 + 1).alias("source"), (k % 6 + 1).alias("target"))
 
 
-@query("block_commands")
+@query("block_commands", machine_sql.BLOCKS)
 def block_commands(lake: Lake) -> DataFrame:
     """The outcome of every command on a block."""
     return machines.fold(block_log(lake), ["block"], machines.block_machine)
@@ -70,7 +71,7 @@ def bucket_log(lake: Lake) -> DataFrame:
     return log.select(F.col("user_id").alias("bucket"), "seq", F.col("created").alias("at"), op.alias("op"), F.when(k % 5 == 0, "other").otherwise("me").alias("owner"), (F.col("user_id") % 3 == 0).alias("lock"), (F.col("user_id") % 29).alias("owned"), F.lit(28).alias("quota"), began.alias("attempt"), made.alias("incarnation"), F.when(k % 3 == 0, "enabled").when(k % 3 == 1, "suspended").otherwise("unversioned").alias("versioning"))
 
 
-@query("bucket_commands")
+@query("bucket_commands", machine_sql.BUCKETS)
 def bucket_commands(lake: Lake) -> DataFrame:
     """The outcome of every command on a bucket."""
     return machines.fold(bucket_log(lake), ["bucket"], machines.bucket_machine)
@@ -90,7 +91,7 @@ def range_log(lake: Lake) -> DataFrame:
     )
 
 
-@query("range_commands")
+@query("range_commands", machine_sql.RANGES)
 def range_commands(lake: Lake) -> DataFrame:
     """The outcome of every split, freeze and merge of a range."""
     return machines.fold(range_log(lake), ["range"], machines.range_machine)
@@ -106,7 +107,7 @@ def gate_log(lake: Lake) -> DataFrame:
     return stepped.select(F.col("user_id").alias("gate"), "seq", pick(0).alias("before"), pick(1).alias("to"), F.floor(F.col("place") / 4).alias("attempt"), F.floor(F.col("place") / 16).alias("incarnation"), (k % 9 == 0).alias("holds_rows"))
 
 
-@query("gate_commands")
+@query("gate_commands", machine_sql.GATES)
 def gate_commands(lake: Lake) -> DataFrame:
     """The outcome of every move of a gate."""
     return machines.fold(gate_log(lake), ["gate"], machines.gate_machine)
@@ -121,7 +122,7 @@ def session_log(lake: Lake) -> DataFrame:
     return log.select(F.col("user_id").alias("session"), "seq", F.col("created").alias("at"), op.alias("op"), serial.cast("long").alias("serial"), F.when(k % 5 == 0, F.lit(0)).otherwise(place - 3).cast("long").alias("unanswered"))
 
 
-@query("session_commands")
+@query("session_commands", machine_sql.SESSIONS)
 def session_commands(lake: Lake) -> DataFrame:
     """What each session says of every command."""
     return machines.fold(session_log(lake), ["session"], machines.session_machine)
