@@ -693,10 +693,14 @@ def test_quality_against_plain(spark):
     frame = spark.createDataFrame([d[:4] for d in docs], "doc_id long, text string, host string, path string")
     labels = [(i, y) for i, _, _, _, y in docs if i % 3 != 2] + [(0, 1), (4, None), (999, 1)]
     got = {r["doc_id"]: r for r in q.score(frame.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()}
-    shapes = {r["id"]: r["bins"] for r in q.features(frame, "doc_id", "text", F.col("host"), F.col("path")).collect()}
-    batch = next(iter(q._grams([pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], ["id", "text"])])))
-    grams = {i: [int.from_bytes(x[k : k + 2], "little") for k in range(0, len(x), 2)] for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
-    assert all(len(set(grams[d[0]])) == len(grams[d[0]]) <= 2 * len(d[1].split()) for d in docs)
+    batch = next(iter(q._worded([q.features(frame, "doc_id", "text", F.col("host"), F.col("path")).coalesce(1).toArrow().combine_chunks().to_batches()[0]])))
+    shapes = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+    grams = {i: q.grams_of(x).tolist() for i, x in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)}
+    for i, text, *_ in docs:
+        words, bins = text.split(), shapes[i][-3:]
+        values = (len({w.lower() for w in words}) / max(1, len(words)), len("".join(words)) / max(1, len(words)), len(words))
+        assert bins == [sum(v > e for e in q.EDGES[f]) for f, v in zip(q.BY_WORDS, values, strict=True)]
+        assert len(set(grams[i])) == len(grams[i]) <= 2 * len(words)
     known = [(i, y) for i, y in labels if y is not None and i < 90]
     held = {0: Counter(), 1: Counter()}
     for i, y in known:
