@@ -84,7 +84,12 @@ def xxh_objects(lake: Lake) -> DataFrame:
     return lake.objects().select("object", *[checksums.xxh(k, F.col("body")).alias(k) for k in ("xxh64", "xxh3_64", "xxh3_128")])
 
 
-@query("full_object_crc")
+_TABLE = "[" + ", ".join(str(int(x)) for x in checksums._table(checksums.POLYNOMIALS["crc32c"][0])) + "]"  # by the rule, a byte a step
+
+
+@query("full_object_crc", "WITH RECURSIVE " + over("parts", DISTINCT_PARTS, "w AS (SELECT upload, hex(encode(string_agg(body, '' ORDER BY part))) AS h FROM d GROUP BY upload)", f"c AS (SELECT {_TABLE} AS t)",
+    "run AS (SELECT upload, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS state FROM w UNION ALL SELECT r.upload, i + 1, xor(t[(xor(state, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) & 255) + 1], state >> 8) FROM run r JOIN w ON w.upload = r.upload, c WHERE 2 * i < length(h))",
+    body="SELECT run.upload, lpad(lower(to_hex(xor(state, 4294967295))), 8, '0') AS crc32c FROM run JOIN w ON w.upload = run.upload WHERE 2 * i = length(h)").removeprefix("WITH "))
 def full_object_crc(lake: Lake) -> DataFrame:
     """An upload's CRC-32C from its parts' alone."""
     d = distinct_parts(lake).select("upload", "part", checksums.crc("crc32c", F.col("body")).alias("crc"), F.octet_length("body").cast("long").alias("size"))
