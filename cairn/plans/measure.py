@@ -104,6 +104,42 @@ def series_judged(lake: Lake) -> DataFrame:
     return rows.groupBy("user_id").applyInPandas(of, schema)
 
 
+_CHOOSE = "CASE WHEN {k} < 0 OR {k} > {n} THEN 0 ELSE exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)) END"
+
+
+def _choose(n: str, k: str) -> str:
+    return "(" + _CHOOSE.format(n=f"({n})", k=f"({k})") + ")"
+
+
+_WAYS = f"CASE WHEN r % 2 = 0 THEN 2 * {_choose('a - 1', 'r // 2 - 1')} * {_choose('b - 1', 'r // 2 - 1')} ELSE {_choose('a - 1', 'r // 2')} * {_choose('b - 1', 'r // 2 - 1')} + {_choose('a - 1', 'r // 2 - 1')} * {_choose('b - 1', 'r // 2')} END / {_choose('a + b', 'a')}"
+
+
+@query("series_runs", over("version_log", "m AS (SELECT user_id, seq, value, median(value) OVER (PARTITION BY user_id) AS med FROM version_log)", "s AS (SELECT user_id, seq, value > med AS up FROM m WHERE value <> med)", "f AS (SELECT user_id, up, CASE WHEN lag(up) OVER w = up THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq))",
+    "c AS (SELECT user_id, sum(fresh) AS runs, count(*) FILTER (up) AS a, count(*) FILTER (NOT up) AS b FROM f GROUP BY 1)", "n AS (SELECT user_id, count(*) AS n FROM version_log GROUP BY 1)", f"d AS (SELECT user_id, runs, r, {_WAYS} AS share FROM (SELECT *, unnest(generate_series(2, a + b)) AS r FROM c WHERE a > 0 AND b > 0))",
+    "t AS (SELECT user_id, any_value(runs) AS runs, sum(share) FILTER (r <= runs) <= 0.025 + 1e-12 AS few, sum(share) FILTER (r >= runs) <= 0.025 + 1e-12 AS many FROM d GROUP BY 1)", body=f"SELECT user_id, CASE WHEN n <= {series.MAX_ROUNDS} THEN CAST(runs AS BIGINT) END AS runs, coalesce(n <= {series.MAX_ROUNDS} AND few, false) AS few, coalesce(n <= {series.MAX_ROUNDS} AND many, false) AS many FROM n LEFT JOIN t USING (user_id)"))
+def series_runs(lake: Lake) -> DataFrame:
+    """Runs about each user's median, and whether they are too few or too many for independent rounds."""
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        count, few, many = series.runs_test(pdf.sort_values("seq")["value"].to_numpy())
+        return pd.DataFrame({"user_id": [key[0]], "runs": pd.array([count], "Int64"), "few": [few], "many": [many]})
+
+    return lake.version_log().select("user_id", "seq", "value").groupBy("user_id").applyInPandas(of, "user_id long, runs long, few boolean, many boolean")
+
+
+@query("series_medians", over("version_log", "o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM version_log)", "u AS (SELECT DISTINCT user_id, n FROM o)", f"b AS (SELECT user_id, n, i, sum({_choose('n', 'i')} / pow(2, n)) OVER (PARTITION BY user_id ORDER BY i) AS below FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM u))",
+    f"j AS (SELECT user_id, n, count(*) FILTER (below <= 0.025 + 1e-12) AS j FROM b WHERE n <= {series.MAX_ROUNDS} GROUP BY 1, 2)", body="SELECT u.user_id, x.value AS low, y.value AS high FROM u LEFT JOIN j USING (user_id) LEFT JOIN o x ON x.user_id = u.user_id AND j > 0 AND x.place = j LEFT JOIN o y ON y.user_id = u.user_id AND j > 0 AND y.place = u.n + 1 - j"))
+def series_medians(lake: Lake) -> DataFrame:
+    """The values that enclose each user's median with 95% confidence, whatever their distribution."""
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, ranks = sorted(pdf["value"]), series.median_ranks(len(pdf))
+        low, high = (xs[ranks[0] - 1], xs[ranks[1] - 1]) if ranks else (None, None)
+        return pd.DataFrame({"user_id": [key[0]], "low": pd.array([low], "Float64"), "high": pd.array([high], "Float64")})
+
+    return lake.version_log().select("user_id", "value").groupBy("user_id").applyInPandas(of, "user_id long, low double, high double")
+
+
 @query("series_enough")
 def series_enough(lake: Lake) -> DataFrame:
     """Whether each user's rounds suffice, and the exact interval of the share of them above the mean of all."""
