@@ -132,7 +132,7 @@ def page(rows: DataFrame, order: list[str], limit: int, after: tuple | None = No
 def range_filter(keys: DataFrame, by: list[str], key: str = "key") -> DataFrame:
     """(by, mark, whole): each key cut behind the first character that tells it from its neighbours in order, and whether that left it whole."""
     w = Window.partitionBy(*by).orderBy(key)
-    shared = F.greatest(*[F.coalesce(shared_prefix(F.col(key), side), F.lit(0)) for side in (F.lag(key).over(w), F.lead(key).over(w))])
+    shared = F.greatest(*[F.when(side.isNull(), 0).otherwise(shared_prefix(F.col(key), side)) for side in (F.lag(key).over(w), F.lead(key).over(w))])
     return keys.select(*by, key).distinct().withColumn("_n", shared).select(*by, F.substr(key, F.lit(1), F.col("_n") + 1).alias("mark"), (F.col("_n") + 1 >= F.length(key)).alias("whole"))
 
 
