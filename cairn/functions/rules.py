@@ -25,7 +25,7 @@ def earliest(objects: DataFrame, rules: DataFrame, matches: Column, at: Column,
 
     Rules are a document of a thousand rules at most, which is checked, so they go to every task.
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+    if len(rules.select("ordinal").take(MOST_RULES + 1)) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     met = objects.join(F.broadcast(rules), matches)
     return met.groupBy(*keys).agg(F.min(F.struct(at.alias("at"), F.col("ordinal"), F.col("rule"))).alias("_m")).select(*keys, F.col("_m.at").alias("due"), F.col("_m.rule").alias("rule"))
