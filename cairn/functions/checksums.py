@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 POLYNOMIALS = {"crc32": (0xEDB88320, 32), "crc32c": (0x82F63B78, 32), "crc64nvme": (0x9A6C9329AC4BC9B5, 64)}
 
 
+@functools.cache
 def _table(polynomial: int) -> np.ndarray:
     row = np.arange(256, dtype=np.uint64)
     for _ in range(8):
@@ -22,25 +25,37 @@ def _table(polynomial: int) -> np.ndarray:
     return row
 
 
+#: Bytes of a body that advance one after the other; a longer body is cut, and its pieces advance beside one another.
+LANE = 512
+
+
 def crcs(kind: str, bodies: list[bytes]) -> np.ndarray:
-    """The CRC of each body, all bodies advancing together by one byte a step."""
+    """The CRC of each body, all pieces of bodies advancing together by one byte a step."""
+    if kind == "crc32":
+        return np.array([zlib.crc32(b) for b in bodies], np.uint64)
     polynomial, width = POLYNOMIALS[kind]
     table, ones = _table(polynomial), np.uint64((1 << width) - 1)
-    sizes = np.array([len(b) for b in bodies], np.int64)
+    whole = np.array([len(b) for b in bodies], np.int64)
+    lanes = np.maximum(-(-whole // LANE), 1)
+    first = np.concatenate([[0], np.cumsum(lanes)[:-1]]).astype(np.int64) if len(bodies) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(bodies)), lanes)
+    before = (np.arange(len(owner)) - first[owner]) * LANE  # bytes of the body before a piece
+    sizes = np.minimum(whole[owner] - before, LANE)
+    starts = (np.cumsum(whole) - whole)[owner] + before
+    state = np.where(before == 0, ones, np.uint64(0))
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(bodies[i] for i in order), np.uint8)
-    ordered = sizes[order]
-    starts = np.concatenate([[0], np.cumsum(ordered)[:-1]]) if len(bodies) else np.zeros(0, np.int64)
-    state = np.full(len(bodies), ones, np.uint64)
-    m = len(bodies)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    ordered, at, moving = sizes[order], starts[order], state[order]
+    m = len(order)
     for t in range(int(ordered[0]) if m else 0):
         while m and ordered[m - 1] <= t:
             m -= 1
-        s = state[:m]
-        state[:m] = table[((s ^ data[starts[:m] + t]) & np.uint64(0xFF)).astype(np.int64)] ^ (s >> np.uint64(8))
-    out = np.empty(len(bodies), np.uint64)
-    out[order] = state ^ ones
-    return out
+        s = moving[:m]
+        moving[:m] = table[((s ^ data[at[:m] + t]) & np.uint64(0xFF)).astype(np.int64)] ^ (s >> np.uint64(8))
+    state[order] = moving
+    if len(owner) > len(bodies):
+        state = np.bitwise_xor.reduceat(moved(kind, state, whole[owner] - before - sizes), first)
+    return state ^ ones
 
 
 def _times(columns: list[int], x: int) -> int:
@@ -51,6 +66,40 @@ def _times(columns: list[int], x: int) -> int:
     return got
 
 
+@functools.cache
+def _step(kind: str, k: int) -> list[int]:
+    """2^k zero bits, as a matrix over GF(2)."""
+    polynomial, width = POLYNOMIALS[kind]
+    if not k:
+        return [polynomial] + [1 << i for i in range(width - 1)]
+    half = _step(kind, k - 1)
+    return [_times(half, c) for c in half]
+
+
+@functools.cache
+def _step_bytes(kind: str, k: int) -> np.ndarray:
+    """What 2^k zero bytes make of each value of each byte of a CRC."""
+    columns = np.array(_step(kind, k + 3), np.uint64).reshape(-1, 8)
+    values = np.arange(256)
+    out = np.zeros((len(columns), 256), np.uint64)
+    for bit in range(8):
+        out ^= np.where(values >> bit & 1 > 0, columns[:, bit : bit + 1], np.uint64(0))
+    return out
+
+
+def moved(kind: str, states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRCs moved on by numbers of zero bytes, all of them together by the bits of the numbers."""
+    states, k = states.copy(), 0
+    while len(sizes) and (left := sizes >> k).any():
+        odd = np.flatnonzero(left & 1)
+        s, got = states[odd], np.zeros(len(odd), np.uint64)
+        for i, row in enumerate(_step_bytes(kind, k)):
+            got ^= row[(s >> np.uint64(8 * i) & np.uint64(0xFF)).astype(np.int64)]
+        states[odd] = got
+        k += 1
+    return states
+
+
 def combine(kind: str, a: int, b: int, size_b: int) -> int:
     """The CRC of two bodies one after the other, from their CRCs and the second's size: a moves on by size_b zero bytes."""
     polynomial, width = POLYNOMIALS[kind]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,27 +179,42 @@ def log_records(lake: Lake) -> DataFrame:
     What reading over damage finds depends on where blocks end, so that is left to the tests.
     """
 
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        user, records = int(key[0]), [e.encode() for e in pdf.sort_values("seq")["etag"]]
-        data = bytearray(log_files.write(records))
+    def damaged(user: int, whole: bytes, half: bytes) -> bytes:
+        data = bytearray(whole)
         if user % 3 == 1:
             del data[-3:]
         elif user % 3 == 2:
-            middle = len(log_files.write(records[: max((len(records) + 1) // 2, 1)])) - 1
-            data[middle] ^= 0xFF
-        rows = []
+            data[len(half) - 1] ^= 0xFF
+        return bytes(data)
+
+    def found(user: int, data: bytes, sums: dict[int, int]):
         for mode in log_files.MODES:
             if user % 3 == 2 and mode == "skip_corrupted":
                 continue
             try:
-                found, refused = log_files.read(bytes(data), mode), False
+                records, refused = log_files.read(data, mode, sums), False
             except ValueError:
-                found, refused = [], True
-            rows.append((user, mode, refused, len(found), b"".join(found).decode()))
-        return pd.DataFrame(rows, columns=["user_id", "mode", "refused", "records", "text"])
-
-    read = lake.version_log().select("user_id", "seq", "etag").groupBy("user_id").applyInPandas(of, "user_id long, mode string, refused boolean, records long, text string")
-    return read.select("user_id", "mode", "refused", "records", F.md5("text").alias("digest"))
+                records, refused = [], True
+            yield user, mode, refused, len(records), hashlib.md5(b"".join(records)).hexdigest()
+
+    def of(batches):
+        for pdf in batches:
+            users, logs, held = [], [], 0
+            for last, (user, etags) in enumerate(zip(pdf["user_id"], pdf["etags"], strict=True), 1 - len(pdf)):
+                users.append(int(user))
+                logs.append([e.encode() for e in etags])
+                held += sum(map(len, logs[-1]))
+                if held < log_files.WINDOW and last:
+                    continue
+                whole, half = log_files.write_all(logs), log_files.write_all([r[: max((len(r) + 1) // 2, 1)] if u % 3 == 2 else [] for u, r in zip(users, logs, strict=True)])
+                data = list(map(damaged, users, whole, half))
+                rows = [row for one in zip(users, data, log_files.sums_of(data), strict=True) for row in found(*one)]
+                yield pd.DataFrame(rows, columns=["user_id", "mode", "refused", "records", "digest"])
+                users, logs, held = [], [], 0
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "etag"))), lambda r: r["etag"])
+    logs = lake.version_log().groupBy("user_id").agg(ordered.alias("etags"))
+    return logs.mapInPandas(of, "user_id long, mode string, refused boolean, records long, digest string")
 
 
 @query("range_images", over("version_log", body="SELECT bucket, key, seq, size FROM version_log WHERE key >= '3/' AND key < '7/'"))

@@ -123,3 +123,29 @@ def test_images(spark, tmp_path):
     rows = spark.range(100).selectExpr("id % 7 as k", "id as v")
     log_files.export_image(rows, str(tmp_path / "image"), ["k", "v"])
     assert sorted(map(tuple, log_files.install_image(spark, str(tmp_path / "image")).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_logs_are_summed_together(monkeypatch):
+    """Checksums go over many fragments at once; one by one, six million records take hours."""
+    calls = []
+    plain = log_files.crcs
+    monkeypatch.setattr(log_files, "crcs", lambda *a: calls.append(1) or plain(*a))
+    logs = [[b"%d" % (i * k) for i in range(500)] for k in range(4)] + [[b"x" * 70_000] * 3, [], [b""]]
+    data = log_files.write_all(logs)
+    sums = log_files.sums_of(data)
+    assert [log_files.read(d, mode, s) for d, s in zip(data, sums, strict=True) for mode in log_files.MODES] == [r for r in logs for _ in log_files.MODES]
+    assert len(calls) == 2
+
+
+def test_long_logs(monkeypatch):
+    """A log of several windows, read with a fault in the second."""
+    monkeypatch.setattr(log_files, "WINDOW", 2 * log_files.BLOCK, raising=False)
+    records = [bytes([i % 256]) * 9_000 for i in range(40)]
+    data = bytearray(log_files.write(records))
+    assert all(log_files.read(bytes(data), mode) == records for mode in log_files.MODES)
+    data[3 * log_files.BLOCK + 500] ^= 1
+    assert log_files.read(bytes(data), "point_in_time") == records[: len(log_files.read(bytes(data), "point_in_time"))]
+    after = log_files.read(bytes(data), "skip_corrupted")
+    assert len(after) < 40 and after[-20:] == records[-20:]
+    with pytest.raises(ValueError):
+        log_files.read(bytes(data), "tolerate_tail")
