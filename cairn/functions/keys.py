@@ -142,14 +142,28 @@ def separator(a: Column, b: Column) -> Column:
 
 def varint(number: Column) -> Column:
     """A non-negative number in groups of 7 bits from the lowest, a high bit on all but the last, as hexadecimal."""
-    left = lambda i: F.call_function("shiftright", number, 7 * i)
-    groups = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: (i == 0) | (left(i) > 0))
-    octet = lambda i: left(i).bitwiseAND(F.lit(127).cast("long")) + F.when((i < 8) & (left(i + 1) > 0), 128).otherwise(0)
-    return F.array_join(F.transform(groups, lambda i: F.lpad(F.lower(F.hex(octet(i))), 2, "0")), "")
+    left = lambda i: F.call_function("shiftright", number, F.lit(7 * i))
+    octet = lambda i: left(i).bitwiseAND(F.lit(127).cast("long")) + (F.when(left(i + 1) > 0, 128).otherwise(0) if i < 8 else 0)
+    digits = lambda i: F.lpad(F.lower(F.hex(octet(i))), 2, "0")
+    return F.when(number.isNotNull(), F.concat_ws("", digits(0), *[F.when(left(i) > 0, digits(i)) for i in range(1, 9)]))
+
+
+LOW = 56
+
+
+def halves(number: Column) -> tuple[Column, Column]:
+    """The low 56 bits of a non-negative decimal below 2^119, and those above."""
+    return (number % F.lit(1 << LOW)).cast("long"), F.call_function("div", number, F.lit(1 << LOW)).cast("long")
+
+
+def wide_varint(low: Column, high: Column) -> Column:
+    """A varint of a number in halves, which may take more than 64 bits."""
+    full = [F.hex(F.call_function("shiftright", low, F.lit(7 * i)).bitwiseAND(F.lit(127).cast("long")) + 128) for i in range(LOW // 7)]
+    return F.when(high == 0, varint(low)).otherwise(F.concat(F.lower(F.concat(*full)), varint(high)))
 
 
 def read_varint(digits: Column) -> Column:
-    """(number, size) of a varint at the start of hexadecimal digits; null where it doesn't end."""
+    """(number, size) of a varint at the start of hexadecimal digits; null where it doesn't end within the 63 bits of a long."""
     octets = F.transform(F.sequence(F.lit(0), F.least(F.floor(F.length(digits) / 2), F.lit(9)).cast("int") - 1), lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
     size = F.array_position(F.transform(octets, lambda x: x < 128), True).cast("int")
     value = F.aggregate(F.transform(F.slice(octets, 1, size), lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(127).cast("long")), 7 * i)), F.lit(0).cast("long"), lambda a, x: a + x)

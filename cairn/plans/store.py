@@ -371,8 +371,10 @@ _VARINT = "array_to_string(list_transform(list_filter(generate_series(0, 8), lam
 
 @query("varints", over("version_log", "n AS (SELECT seq, seq * seq * seq AS v FROM version_log)", body=f"SELECT seq, {_VARINT} AS digits, v AS number FROM n"))
 def varints(lake: Lake) -> DataFrame:
-    """Numbers as varints, and read back."""
-    made = lake.version_log().select("seq", keys.varint(F.col("seq") * F.col("seq") * F.col("seq")).alias("digits"))
+    """Numbers as varints, and read back: cubes, which are written whole whatever their bits; one beyond a long reads as null."""
+    n = F.col("seq").cast("decimal(19,0)")
+    low, high = keys.halves(n * n * n)
+    made = lake.version_log().select("seq", low.alias("low"), high.alias("high")).select("seq", keys.wide_varint(F.col("low"), F.col("high")).alias("digits"))
     return made.select("seq", "digits", keys.read_varint(F.concat("digits", F.lit("ff01")))["number"].alias("number"))
 
 

@@ -275,3 +275,26 @@ def test_varints_and_slices(spark):
         assert bytes.fromhex(digits) == bytes(plain) and tuple(one(keys.read_varint(F.lit(digits + "00")))) == (n, len(plain))
     assert one(keys.read_varint(F.lit("ffff"))) is None
     assert one(keys.read_slice(keys.sliced(F.lit("é" * 100)))) == "é" * 100 and one(keys.read_slice(F.lit("05616263"))) is None
+
+
+def events(spark, folder, ids, user=lambda n: n % 8):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(seconds=k), user(n), "click", 1.0, '{"k": 1}') for k, n in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def test_cubes_beyond_a_long_are_written_whole(spark, tmp_path):
+    ids = [0, 1, 99_999, 416_127, 416_128, 2_097_151, 2_097_152, 2_642_246, 6_000_000, 36_000_000]
+    events(spark, tmp_path, ids)
+    got = {r["seq"]: r for r in catalogue.queries()["varints"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids
+    for n in ids:
+        left, plain = n**3, []
+        while True:
+            plain.append((left & 127) | (128 if left > 127 else 0))
+            left >>= 7
+            if not left:
+                break
+        assert bytes.fromhex(got[n]["digits"]) == bytes(plain) and got[n]["number"] == (n**3 if n**3 < 1 << 63 else None)
