@@ -50,25 +50,32 @@ def bloom_may_hold(filter_: Column, key: Column) -> Column:
     return of(filter_, key)
 
 
-def probes(key: Column, bits: int) -> Column:
+def probes(key: Column, bits: int | Column) -> Column:
     """The bits that a key sets in a filter of a size: two hashes and their sums, as many as PROBES."""
     a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    at = lambda k: F.pmod((a.cast("decimal(20,0)") + b.cast("decimal(20,0)") * k).cast("decimal(38,0)"), F.lit(bits).cast("decimal(20,0)")).cast("long")
+    size = (bits if isinstance(bits, Column) else F.lit(bits)).cast("decimal(20,0)")
+    at = lambda k: F.pmod((a.cast("decimal(20,0)") + b.cast("decimal(20,0)") * k).cast("decimal(38,0)"), size).cast("long")
     return F.array(*[at(k) for k in range(PROBES)])
 
 
-def filters_of(rows: DataFrame, by: list[str], key: str, bits: int) -> DataFrame:
+def sizes_of(rows: DataFrame, by: list[str], key: str, per_key: int = 10, least: int = 1 << 14) -> DataFrame:
+    """(by, bits): the size of each group's filter by its distinct keys, so that it takes as few others for one whatever their number."""
+    return rows.select(*by, key).distinct().groupBy(*by).agg(F.greatest(F.lit(least).cast("long"), F.count("*") * per_key).alias("bits"))
+
+
+def filters_of(rows: DataFrame, by: list[str], key: str, sizes: DataFrame) -> DataFrame:
     """(by, word, set): the words of one filter for each group, 64 bits a word. Keys are combined map-side, whatever their number."""
-    at = rows.select(*by, F.explode(probes(F.col(key), bits)).alias("at"))
+    at = rows.select(*by, key).distinct().join(sizes, by).select(*by, F.explode(probes(F.col(key), F.col("bits"))).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     return at.groupBy(*by, F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("set"))
 
 
-def held_by(rows: DataFrame, filters: DataFrame, by: list[str], key: str, bits: int) -> DataFrame:
-    """(by, key, may_hold): each distinct key's answer from its group's filter."""
-    asked = rows.select(*by, key).distinct().withColumn("at", F.explode(probes(F.col(key), bits))).withColumn("word", F.floor(F.col("at") / 64))
+def held_by(rows: DataFrame, filters: DataFrame, by: list[str], key: str, sizes: DataFrame) -> DataFrame:
+    """(by, key, may_hold): each distinct key's answer from its group's filter; a group without one holds nothing."""
+    sized = rows.select(*by, key).distinct().join(sizes, by, "left")
+    asked = sized.withColumn("at", F.explode_outer(probes(F.col(key), F.col("bits")))).withColumn("word", F.floor(F.col("at") / 64))
     met = asked.join(filters, [*by, "word"], "left")
-    on = F.call_function("shiftright", F.coalesce("set", F.lit(0).cast("long")), (F.col("at") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    on = F.call_function("shiftright", F.coalesce("set", F.lit(0).cast("long")), (F.coalesce("at", F.lit(0).cast("long")) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
     return met.groupBy(*by, key).agg(F.bool_and(on).alias("may_hold"))
 
 

@@ -156,17 +156,15 @@ def erasure_rebuilt(lake: Lake) -> DataFrame:
     return lake.objects().select("object", erasure.rebuilt(F.encode("body", "UTF-8"), lost, 4, 2).alias("r")).select("object", F.md5("r.body").alias("found"), "r.chunk")
 
 
-BITS = 1 << 14
-
-
 @query("bloom_buckets", over("version_log", body="SELECT bucket, true AS held, true AS few_strangers FROM version_log GROUP BY bucket"))
 def bloom_buckets(lake: Lake) -> DataFrame:
     """A filter of each bucket's keys: it holds all of them, and takes few others for one."""
-    log = lake.version_log().select("bucket", "key")
-    made = filters.filters_of(log, ["bucket"], "key", BITS)
-    strangers = log.distinct().select("bucket", F.concat("key", F.lit("?")).alias("key"))
-    own = filters.held_by(log, made, ["bucket"], "key", BITS).groupBy("bucket").agg(F.bool_and("may_hold").alias("held"))
-    others = filters.held_by(strangers, made, ["bucket"], "key", BITS).groupBy("bucket").agg((F.avg(F.col("may_hold").cast("int")) < 0.05).alias("few_strangers"))
+    log = lake.version_log().select("bucket", "key").distinct()
+    sizes = filters.sizes_of(log, ["bucket"], "key")
+    made = filters.filters_of(log, ["bucket"], "key", sizes)
+    strangers = log.select("bucket", F.concat("key", F.lit("?")).alias("key"))
+    own = filters.held_by(log, made, ["bucket"], "key", sizes).groupBy("bucket").agg(F.bool_and("may_hold").alias("held"))
+    others = filters.held_by(strangers, made, ["bucket"], "key", sizes).groupBy("bucket").agg((F.avg(F.col("may_hold").cast("int")) < 0.05).alias("few_strangers"))
     return own.join(others, "bucket")
 
 

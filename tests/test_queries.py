@@ -298,3 +298,9 @@ def test_cubes_beyond_a_long_are_written_whole(spark, tmp_path):
             if not left:
                 break
         assert bytes.fromhex(got[n]["digits"]) == bytes(plain) and got[n]["number"] == (n**3 if n**3 < 1 << 63 else None)
+
+
+def test_filters_grow_with_their_keys(spark, tmp_path):
+    """A filter of 20,000 keys takes few strangers for its own too."""
+    events(spark, tmp_path, range(20_000), user=lambda n: 4 * n)
+    assert [tuple(r) for r in catalogue.queries()["bloom_buckets"](spark, str(tmp_path)).collect()] == [("b0", True, True)]
