@@ -102,14 +102,11 @@ def moved(kind: str, states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def combine(kind: str, a: int, b: int, size_b: int) -> int:
     """The CRC of two bodies one after the other, from their CRCs and the second's size: a moves on by size_b zero bytes."""
-    polynomial, width = POLYNOMIALS[kind]
-    step = [polynomial] + [1 << k for k in range(width - 1)]  # one zero bit, as a matrix over GF(2)
-    n = 8 * size_b
-    while n:
-        if n & 1:
-            a = _times(step, a)
-        step = [_times(step, c) for c in step]
-        n >>= 1
+    n, k = 8 * size_b, 0
+    while n >> k:
+        if n >> k & 1:
+            a = _times(_step(kind, k), a)
+        k += 1
     return a ^ b
 
 
@@ -156,7 +153,8 @@ def joined(kind: str, first: Column, second: Column, size: Column) -> Column:
 
     @F.pandas_udf("string")
     def of(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([f"{combine(kind, int(x, 16), int(y, 16), int(k)):0{digits}x}" for x, y, k in zip(a, b, n, strict=True)])
+        first, second = (np.array([int(x, 16) for x in xs], np.uint64) for xs in (a, b))
+        return pd.Series([f"{x:0{digits}x}" for x in (moved(kind, first, n.to_numpy(np.int64)) ^ second).tolist()])
 
     return of(first, second, size)
 

@@ -175,3 +175,27 @@ def test_series_are_judged_whole(spark, tmp_path):
     got = {r["user_id"]: r for r in catalogue.queries()["series_judged"](spark, str(tmp_path)).collect()}
     assert {u: r["rounds"] for u, r in got.items()} == {1: 120, 2: 121, 3: 9}
     assert got[1]["order"] == "persistent" and got[1]["low"] is not None and got[2]["order"] == got[3]["order"] == "untested"
+
+
+def test_crcs_move_by_steps_made_once(monkeypatch):
+    """Combining makes no matrix anew for each row, and long bodies are cut into pieces."""
+    def plain_crc(polynomial: int, width: int, data: bytes) -> int:
+        state = (1 << width) - 1
+        for x in data:
+            state ^= x
+            for _ in range(8):
+                state = state >> 1 ^ (polynomial if state & 1 else 0)
+        return state ^ (1 << width) - 1
+
+    rng = np.random.default_rng(3)
+    body = rng.integers(0, 256, 3 * checksums.LANE + 7, dtype=np.uint8).tobytes()
+    for kind, (polynomial, width) in checksums.POLYNOMIALS.items():
+        for cut in (0, 1, checksums.LANE, checksums.LANE + 1, len(body)):
+            a, b, whole = (int(x) for x in checksums.crcs(kind, [body[:cut], body[cut:], body]))
+            assert whole == plain_crc(polynomial, width, body) and checksums.combine(kind, a, b, len(body) - cut) == whole
+            assert int(checksums.moved(kind, np.array([a], np.uint64), np.array([len(body) - cut]))[0]) ^ b == whole
+    checksums.combine("crc64nvme", 5, 7, (1 << 12) - 1)
+    calls, plain = [], checksums._times
+    monkeypatch.setattr(checksums, "_times", lambda *a: calls.append(1) or plain(*a))
+    checksums.combine("crc64nvme", 5, 7, (1 << 12) - 1)
+    assert len(calls) <= 12
