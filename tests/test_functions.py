@@ -199,3 +199,58 @@ def test_crcs_move_by_steps_made_once(monkeypatch):
     monkeypatch.setattr(checksums, "_times", lambda *a: calls.append(1) or plain(*a))
     checksums.combine("crc64nvme", 5, 7, (1 << 12) - 1)
     assert len(calls) <= 12
+
+
+def plain_dip(values) -> float:
+    """The dip with every hull made anew: the least over modes of how far steps rise over a minorant before it or fall under a majorant after it."""
+    xs = sorted(values)
+    n, best = len(xs), math.inf
+
+    def over(points, x):
+        """The greatest convex minorant of points at x, as the least of all chords."""
+        at = [y for a, y in points if a == x]
+        return min(at + [ya + (yb - ya) * (x - a) / (b - a) for a, ya in points for b, yb in points if a < x < b])
+
+    for mode in sorted(set(xs)):
+        left = [(x, i) for i, x in enumerate(xs) if x <= mode]
+        right = [(-x, n - 1 - i) for i, x in enumerate(xs) if x >= mode]
+        gaps = [0.0]
+        for points in (left, right):
+            for x, i in points:
+                if x != max(p[0] for p in points):
+                    gaps.append(i + 1 - over(points, x))
+        best = min(best, max(gaps))
+    return best / (2 * n)
+
+
+def test_dip_is_found_in_one_pass():
+    import time
+
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 7, 12, 20):
+        for values in (rng.normal(size=n), np.round(rng.normal(size=n)), np.concatenate([rng.normal(size=n), 9 + rng.normal(size=n)])):
+            if len(set(values)) > 1:
+                assert series.dip(values) == pytest.approx(plain_dip(values.tolist()))
+    many = [np.round(rng.exponential(10, 100), 2) for _ in range(100)]
+    begun = time.process_time()
+    for values in many:
+        series.dip(values)
+    assert time.process_time() - begun < 1  # a few seconds with every hull made anew
+
+
+def test_series_cross_batches(spark, tmp_path):
+    """A series that spans batches of rows is one series, and users without a number are one."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(seconds=n), user, "click", float(n % 7), '{"k": 1}') for n, user in enumerate([1] * 50 + [2] * 3 + [None] * 20 + [3] * 33)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "7")
+    try:
+        for name in ("series_judged",):
+            got = {r["user_id"]: r["rounds"] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+            assert got == {1: 50, 2: 3, None: 20, 3: 33}
+    finally:
+        spark.conf.set(bound, before)
