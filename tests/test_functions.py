@@ -238,6 +238,13 @@ def test_dip_is_found_in_one_pass():
     assert time.process_time() - begun < 1  # a few seconds with every hull made anew
 
 
+def test_shares_are_solved_once():
+    series.share_interval.cache_clear()
+    for _ in range(5):
+        series.share_interval(31, 67)
+    assert series.share_interval.cache_info().misses == 1
+
+
 def test_series_cross_batches(spark, tmp_path):
     """A series that spans batches of rows is one series, and users without a number are one."""
     import datetime
@@ -249,7 +256,7 @@ def test_series_cross_batches(spark, tmp_path):
     before = spark.conf.get(bound)
     spark.conf.set(bound, "7")
     try:
-        for name in ("series_judged",):
+        for name in ("series_judged", "series_enough"):
             got = {r["user_id"]: r["rounds"] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
             assert got == {1: 50, 2: 3, None: 20, 3: 33}
     finally:
