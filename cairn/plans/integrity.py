@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn import session
 from cairn.functions import checksums, erasure, filters
 from cairn.sources import log_files
 from cairn.sources.views import Lake
@@ -151,6 +152,7 @@ def crc_joined(lake: Lake) -> DataFrame:
 @query("erasure_rebuilt", over("objects", "s AS (SELECT object, body, CAST(octet_length(encode(body)) AS BIGINT) AS len FROM objects)", body="SELECT object, CASE WHEN object % 5 <> 4 THEN md5(body) END AS found, greatest(2, ((len + 3) // 4 + 1) // 2 * 2) AS chunk FROM s"))
 def erasure_rebuilt(lake: Lake) -> DataFrame:
     """Objects in four data and two parity chunks, rebuilt without two of them, or not at all without three."""
+    session.small_batches(lake.spark)
     k = F.col("object") % 5
     lost = F.when(k == 0, F.array(F.lit(0), F.lit(1))).when(k == 1, F.array(F.lit(3), F.lit(5))).when(k == 2, F.array(F.lit(4), F.lit(5))).when(k == 3, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2), F.lit(4)))
     return lake.objects().select("object", erasure.rebuilt(F.encode("body", "UTF-8"), lost, 4, 2).alias("r")).select("object", F.md5("r.body").alias("found"), "r.chunk")

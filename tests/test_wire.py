@@ -149,3 +149,18 @@ def test_long_logs(monkeypatch):
     assert len(after) < 40 and after[-20:] == records[-20:]
     with pytest.raises(ValueError):
         log_files.read(bytes(data), "tolerate_tail")
+
+
+def test_rebuilt_bodies_are_handed_on_in_pieces(spark, monkeypatch):
+    """Bodies beyond a piece don't wait for the rest of their batch, and a batch has 1,000 rows at most."""
+    from cairn.plans import catalogue
+
+    monkeypatch.setattr(erasure, "PIECE", 100)
+    texts = [bytes(k * i % 251 for i in range(k)) for k in (0, 1, 7, 99, 100, 101, 5_000, 100, 3)]
+    for lost, whole in (([0, 1], True), ([3, 5], True), ([0, 2, 4], False)):
+        df = spark.createDataFrame([(i, t, lost) for i, t in enumerate(texts)], "i int, t binary, lost array<int>").coalesce(1)
+        got = {r["i"]: r["r"] for r in df.select("i", erasure.rebuilt(F.col("t"), F.col("lost"), 4, 2).alias("r")).collect()}
+        assert [got[i]["body"] for i in range(len(texts))] == [bytearray(t) if whole else None for t in texts]
+        assert [got[i]["chunk"] for i in range(len(texts))] == [erasure.chunk_length(len(t), 4) for t in texts]
+    catalogue.queries()["erasure_rebuilt"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
